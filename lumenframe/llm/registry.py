@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, lm_scoring, quality_rules
+from . import jaccard_join, lm_scoring, quality_rules, substring_dedup
 from .common import table
 
 
@@ -17,6 +17,7 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": _over("documents", lm_scoring.query),
     "op7_jaccard_join": _over("documents", jaccard_join.query),
+    "op8_substring_dedup": _over("documents", substring_dedup.query),
     "op10_quality_rules": _over("documents", quality_rules.query),
 }
 
