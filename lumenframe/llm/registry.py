@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, lm_scoring, quality_rules, substring_dedup
+from . import decontamination, jaccard_join, lm_scoring, quality_rules, substring_dedup
 from .common import table
 
 
@@ -18,7 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": _over("documents", lm_scoring.query),
     "op7_jaccard_join": _over("documents", jaccard_join.query),
     "op8_substring_dedup": _over("documents", substring_dedup.query),
+    "op9_decontamination": lambda spark, sf_dir: decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_quality_rules": _over("documents", quality_rules.query),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontamination": decontamination.ORACLE_SQL,
+}
