@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, jaccard_join, lm_scoring, quality_rules, substring_dedup
+from . import byte_bpe, decontamination, jaccard_join, license_scan, lm_scoring, quality_rules, substring_dedup
 from .common import table
 
 
@@ -16,6 +16,7 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": _over("documents", lm_scoring.query),
+    "op3_license_scan": _over("documents", license_scan.query),
     "op4_byte_bpe": _over("documents", byte_bpe.query),
     "op7_jaccard_join": _over("documents", jaccard_join.query),
     "op8_substring_dedup": _over("documents", substring_dedup.query),
