@@ -145,8 +145,8 @@ def word_hash(word: str | bytes) -> int:
     """The hash that split() gives this word."""
     raw = np.frombuffer(word.encode() if isinstance(word, str) else word, dtype=np.uint8)
     power, _ = _power_tables(len(raw))
-    h = np.sum(_LETTERS[False][raw] * power[: len(raw)], dtype=U64)
-    return int(mix64(np.array([h + U64(len(raw)) * _ODD], dtype=U64))[0])
+    h = np.sum(_LETTERS[False][raw] * power[: len(raw)], dtype=U64, keepdims=True)
+    return int(mix64(h + np.array([len(raw)], dtype=U64) * _ODD)[0])
 
 
 def split_batches(column: pa.Array, lower: bool = False, outside: np.ndarray = SPACE, hashes: bool = True, most: int = SLICE_BYTES):
