@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, html_extraction, jaccard_join, license_scan, lm_scoring, quality_rules, substring_dedup, toxicity
+from . import byte_bpe, decontamination, html_extraction, jaccard_join, license_scan, lm_scoring, quality_classifier, quality_rules, substring_dedup, toxicity
 from .common import table
 
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": _over("documents", license_scan.query),
     "op4_byte_bpe": _over("documents", byte_bpe.query),
     "op5_toxicity": _with_labels(toxicity.query),
+    "op6_quality_classifier": _with_labels(quality_classifier.query),
     "op7_jaccard_join": _over("documents", jaccard_join.query),
     "op8_substring_dedup": _over("documents", substring_dedup.query),
     "op9_decontamination": lambda spark, sf_dir: decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
