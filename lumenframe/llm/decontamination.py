@@ -37,68 +37,52 @@ def _words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def _seeds(hashes: str, masks: dict[int, str]) -> Column:
-    """Seed hashes of all masks, one after the other, each over all places it fits."""
-    def at(salt: int, mask: str):
-        ones = [k for k, c in enumerate(mask) if c == "1"]
-        return lambda i: F.xxhash64(*(F.get(F.col(hashes), i + k if k else i) for k in ones), F.lit(salt))
-
-    parts = []
-    for salt, mask in masks.items():
-        last = F.size(hashes) - len(mask)
-        seed = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at(salt, mask))
-        parts.append(F.when(last >= 0, seed).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(*parts)
-
-
-def _place(index: str, size: str, masks: dict[int, str]) -> Column:
-    """First word of the seed with this index in _seeds()."""
-    at, out = F.col(index), None
-    for mask in masks.values():
-        n = F.greatest(F.col(size) - len(mask) + 1, F.lit(0))
-        out = [(at < n, at)] if out is None else [*out, (at < n, at)]
-        at = at - n
-    place = F.when(*out[0])
-    for condition, value in out[1:]:
-        place = place.when(condition, value)
-    return place
+def _seed(mask: str, salt: int) -> Column:
+    """The seed under one mask at the word ``place`` of ``words``; null where it does not fit."""
+    ones = [k for k, c in enumerate(mask) if c == "1"]
+    return F.when(F.col("place") + len(mask) <= F.size("words"), F.xxhash64(*(F.get(F.col("words"), F.col("place") + k) for k in ones), F.lit(salt)))
 
 
 def _with_seeds(df: DataFrame, masks: dict[int, str]) -> DataFrame:
-    """A row per seed, with its place; the other columns go along."""
+    """A row per seed, with its place; the other columns go along.
+
+    Places are generated first and each seed is read off the array, so that the
+    hashes, and the join that follows, are generated code over rows and neither
+    copies the array nor calls a lambda for each word.
+    """
     others = df.columns
-    out = df.select("*", F.posexplode(_seeds("hashes", masks)).alias("index", "seed"))
-    return out.withColumn("size", F.size("hashes")).select(*others, "seed", _place("index", "size", masks).alias("place"))
+    rows = df.select("*", F.posexplode("words").alias("place", "word")).drop("word")
+    return rows.select(*others, "place", F.explode(F.array(*(_seed(mask, salt) for salt, mask in masks.items()))).alias("seed")).where("seed is not null")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, agree: float = 0.8) -> DataFrame:
     """Per document and item that it holds: start (word where the item's first word lies, may be negative), n_equal aligned words, n_item words."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), _hashes(_words(item_text)).alias("hashes")).where("size(hashes) > 0")
+    items = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("words")).where("size(words) > 0")
     masks = dict(enumerate(MASKS, 1))
     longest = max(map(len, MASKS))
     seeds = _with_seeds(items, masks)
-    lengths = [r["n"] for r in items.where(F.size("hashes") < longest).select(F.least(F.size("hashes"), F.lit(5)).alias("n")).distinct().collect()]  # five numbers at most
+    lengths = [r["n"] for r in items.where(F.size("words") < longest).select(F.least(F.size("words"), F.lit(5)).alias("n")).distinct().collect()]  # five numbers at most
     short = {100 + n: SHORT_MASKS[n - 1] for n in sorted(lengths)}
     for salt, mask in short.items():
-        own = items.where((F.size("hashes") < longest) & (F.least(F.size("hashes"), F.lit(5)) == len(mask)))
+        own = items.where((F.size("words") < longest) & (F.least(F.size("words"), F.lit(5)) == len(mask)))
         seeds = seeds.unionByName(_with_seeds(own, {salt: mask}).where("place = 0"))
     masks |= short
-    seeds = seeds.where("seed is not null").select("seed", "item_id", F.col("hashes").alias("item"), F.col("place").alias("item_place"))
+    seeds = seeds.select("seed", "item_id", F.col("words").alias("item"), F.col("place").alias("item_place"))
     if seeds.count() <= MOST_SEEDS:
         seeds = F.broadcast(seeds)
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), _hashes(_words(text)).alias("hashes"))
-    seeded = hashed.select("doc_id", "hashes", F.posexplode(_seeds("hashes", masks)).alias("index", "seed"))
-    hits = seeded.join(seeds, "seed").withColumn("size", F.size("hashes"))
-    hits = hits.withColumn("start", _place("index", "size", masks) - F.col("item_place"))
-    laid = hits.select("doc_id", "item_id", "start", F.transform("item", lambda h, j: F.when((F.col("start") + j >= 0) & (F.get(F.col("hashes"), F.greatest(F.col("start") + j, F.lit(0))) == h), 1).otherwise(0)).alias("equal"))
+    # The row numbers keep the planner from moving later conditions below: it would split every text twice, and
+    # put the comparison into the join, which would then copy a text's words for each of its seeds.
+    texts = docs.select(F.col(doc_id).alias("doc_id"), _words(text).alias("words"), F.monotonically_increasing_id().alias("row"))
+    hits = _with_seeds(texts, masks).join(seeds, "seed").withColumn("start", F.col("place") - F.col("item_place"))
+    near = hits.select("doc_id", "item_id", "start", "item", "row", F.monotonically_increasing_id().alias("hit"), F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item")).alias("part"))
+    laid = near.select("doc_id", "item_id", "start", "row", "hit", F.transform("item", lambda h, j: F.when((F.col("start") + j >= 0) & (F.get(F.col("part"), F.least(F.col("start"), F.lit(0)) + j) == h), 1).otherwise(0)).alias("equal"))
     width = F.least(F.size("equal"), F.lit(span))
+    least = F.ceil(F.lit(agree) * width - F.lit(1e-9))
+    # Most hits are chance: too few words agree in all.  The rest are looked at once for each place.
+    some = laid.withColumn("n_equal", F.aggregate("equal", F.lit(0), lambda s, e: s + e)).where((F.col("n_equal") >= least) & (F.col("row") >= 0) & (F.col("hit") >= 0))
+    some = some.dropDuplicates(["row", "doc_id", "item_id", "start", "equal"]).withColumn("once", F.monotonically_increasing_id())
     runs = F.transform(F.sequence(F.lit(0), F.size("equal") - width), lambda j: F.aggregate(F.slice("equal", j + 1, width), F.lit(0), lambda s, e: s + e))
-    held = laid.where(F.array_max(runs) >= F.ceil(F.lit(agree) * width - F.lit(1e-9)))
-    found = held.select("doc_id", "item_id", "start", F.aggregate("equal", F.lit(0), lambda s, e: s + e).alias("n_equal"), F.size("equal").alias("n_item"))
+    found = some.where((F.array_max(runs) >= least) & (F.col("once") >= 0)).select("doc_id", "item_id", "start", "n_equal", F.size("equal").alias("n_item"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", (-F.col("start")).alias("back"), "n_item")).alias("m"))
     return best.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias("item_id"), (-F.col("m.back")).cast("long").alias("start"), F.col("m.n_equal").cast("long").alias("n_equal"), F.col("m.n_item").cast("long").alias("n_item"))
 
