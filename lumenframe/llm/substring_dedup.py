@@ -11,7 +11,7 @@ a window whose words also start elsewhere is removed.
    Each shard compiles its phrases into one Aho-Corasick automaton and streams
    its documents through it; the matches give the windows that may recur.
 3. Hashes of those windows alone meet by key range, packed, and each shard gets
-   back the ones that are found twice or more.
+   back the few that are found only once.
 4. The words they cover are removed.
 
 A shard is about ``SHARD_BYTES`` of the stored table, so that its automaton has
@@ -286,15 +286,15 @@ _ANSWER = pa.schema([("block", pa.int32()), ("keys", pa.binary())])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key range: to each block, its hashes that occur twice or more in all."""
+    """Rows sorted by key range: to each block, its hashes that occur once in all; most candidates recur, so these are few."""
 
     def answer(rows: list) -> Iterator[pa.RecordBatch]:
         parts = [(block, blobs.unpack_sorted(keys), twice) for block, keys, twice in rows]
         known = [k[np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=len(k)).astype(bool)] for _, k, t in parts]
         keys, counts = blobs.counted(np.concatenate([k for _, k, _ in parts] + known))
-        again = keys[counts[:, 0] > 1]
+        alone = keys[counts[:, 0] == 1]
         for block, own, _ in parts:
-            mine = own[np.isin(own, again, assume_unique=True, kind="sort")]
+            mine = own[np.isin(own, alone, assume_unique=True, kind="sort")]
             if len(mine):
                 yield record_batch({"block": [block], "keys": [blobs.pack_sorted(mine)]}, _ANSWER)
 
@@ -311,7 +311,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _remove(window: int, keep_text: bool):
-    """A block's recurring hashes, then its documents: the words that stay."""
+    """A block's hashes that occur once, then its documents: the words that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, keys, known = None, [], np.zeros(0, dtype=U64)
@@ -333,7 +333,7 @@ def _remove(window: int, keep_text: bool):
                     at = _windows(w, batch.column(4).slice(a + x, y - x).to_pylist(), window)
                     own = grams(w.hash, window)[at]
                     i = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                    at = at[known[i] == own] if len(known) else at[:0]
+                    at = at[known[i] != own] if len(known) else at
                     edge = np.zeros(len(w.hash) + 1, dtype=np.int32)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
