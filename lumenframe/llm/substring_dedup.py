@@ -170,16 +170,16 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch({"shard": [s for s, _ in out], "phrase": [p for _, p in out]}, _PHRASE_ROW)
 
 
-_LOCATED = "block int, doc_id {kind}, n_words long, text string, runs binary"
+_LOCATED = "block int, doc_id {kind}, n_words long, text string, runs binary, carried {carried}"
 
 
 def _locate(window: int, phrase: int, keep_text: bool):
-    """A shard's phrases, then its documents: where windows may recur.  A document without any is done: its words, joined, or their digest, stand in ``text``."""
+    """A shard's phrases, then its documents: where windows may recur.  A document without any is done; it keeps its text, or the digest of its joined words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton, open_ = None, None, False
         for batch in batches:
-            schema = pa.schema([("block", pa.int32()), ("doc_id", batch.schema.field(2).type), ("n_words", pa.int64()), ("text", pa.string()), ("runs", pa.binary())])
+            schema = pa.schema([("block", pa.int32()), ("doc_id", batch.schema.field(2).type), ("n_words", pa.int64()), ("text", pa.string()), ("runs", pa.binary()), ("carried", batch.schema.field(5).type)])
             shards, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             cuts = np.concatenate(([0], np.flatnonzero((shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])) + 1, [len(shards)]))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -194,7 +194,7 @@ def _locate(window: int, phrase: int, keep_text: bool):
                 if open_:
                     open_ = False
                     automaton.make_automaton()
-                ids, texts = batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)
+                ids, texts, carried = (batch.column(k).slice(a, b - a) for k in (2, 3, 5))
                 for x, y, w in _words(texts):
                     found = _places(automaton, w, phrase)
                     marked = Anchors(w, window, phrase).marked(found)
@@ -210,10 +210,9 @@ def _locate(window: int, phrase: int, keep_text: bool):
                             cut = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
                             runs.append(np.stack((starts[cut], np.diff(cut, append=len(starts)))).astype("<i4").tobytes())
                         else:
-                            joined = b" ".join(raw[w.offsets[i] : w.offsets[i + 1]].split())
-                            out.append(joined.decode() if keep_text else hashlib.sha256(joined).hexdigest())
+                            out.append(source[i].as_py() if keep_text else hashlib.sha256(b" ".join(raw[w.offsets[i] : w.offsets[i + 1]].split())).hexdigest())
                             runs.append(None)
-                    yield record_batch({"block": np.full(y - x, shard, dtype=np.int32), "doc_id": ids.slice(x, y - x), "n_words": w.counts, "text": out, "runs": runs}, schema)
+                    yield record_batch({"block": np.full(y - x, shard, dtype=np.int32), "doc_id": ids.slice(x, y - x), "n_words": w.counts, "text": out, "runs": runs, "carried": carried.slice(x, y - x)}, schema)
 
     return run
 
@@ -316,7 +315,7 @@ def _remove(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, keys, known = None, [], np.zeros(0, dtype=U64)
         for batch in batches:
-            schema = pa.schema([("doc_id", batch.schema.field(2).type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+            schema = pa.schema([("doc_id", batch.schema.field(2).type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("carried", batch.schema.field(6).type)])
             blocks, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             cuts = np.concatenate(([0], np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1, [len(blocks)]))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -339,35 +338,44 @@ def _remove(window: int, keep_text: bool):
                     np.add.at(edge, at + window, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     raw = w.data.tobytes()
-                    kept = []
+                    kept, source = [], batch.column(3).slice(a + x, y - x)
+                    removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.first])
                     for k in range(y - x):
+                        if keep_text and not removed[k]:
+                            kept.append(source[k].as_py())
+                            continue
                         words = raw[w.offsets[k] : w.offsets[k + 1]].split()
                         joined = b" ".join([t for t, g in zip(words, gone[w.first[k] : w.first[k + 1]].tolist(), strict=True) if not g])
                         kept.append(joined.decode() if keep_text else hashlib.sha256(joined).hexdigest())
-                    removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.first])
-                    yield record_batch({"doc_id": batch.column(2).slice(a + x, y - x), "n_words": w.counts, "n_removed": removed, "kept": kept}, schema)
+                    yield record_batch({"doc_id": batch.column(2).slice(a + x, y - x), "n_words": w.counts, "n_removed": removed, "kept": kept, "carried": batch.column(6).slice(a + x, y - x)}, schema)
 
     return run
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, keep_text: bool = True) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed and ``kept``: the words that stay, joined by one space, or their SHA-256."""
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed and ``kept``, and the columns to ``carry`` along.
+
+    ``kept`` is the text itself where nothing is removed, else the words that stay, joined by one space; without
+    ``keep_text`` it is the SHA-256 of the words that stay, joined by one space.
+    """
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     shards = shards_for(docs)
-    rows = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(shards)).cast("int").alias("shard"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    others = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))) if carry else F.lit(None).cast("boolean")
+    rows = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(shards)).cast("int").alias("shard"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), others.alias("carried"))
+    carried = rows.schema["carried"].dataType.simpleString()
+    none = f"CAST(NULL AS {carried}) AS carried"
     anchors = rows.select("shard", "text").mapInArrow(_anchor_rows(window, phrase), "route long, anchor long, shard int, tells byte, phrase binary")
     phrases = anchors.repartition(shards, "route").sortWithinPartitions("route", "anchor").mapInArrow(_recurring, "shard int, phrase binary")
-    streams = rows.selectExpr("shard", "1 AS kind", "doc_id", "text", "CAST(NULL AS BINARY) AS phrase").unionByName(phrases.selectExpr("shard", "0 AS kind", f"CAST(NULL AS {kind}) AS doc_id", "CAST(NULL AS STRING) AS text", "phrase"))
-    located = materialise(streams.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_locate(window, phrase, keep_text), _LOCATED.format(kind=kind)), "located")
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the stages that are done
+    streams = rows.selectExpr("shard", "1 AS kind", "doc_id", "text", "CAST(NULL AS BINARY) AS phrase", "carried").unionByName(phrases.selectExpr("shard", "0 AS kind", f"CAST(NULL AS {kind}) AS doc_id", "CAST(NULL AS STRING) AS text", "phrase", none))
+    located = materialise(streams.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_locate(window, phrase, keep_text), _LOCATED.format(kind=kind, carried=carried)), "located")
 
     open_ = located.where("runs is not null")
     answers = open_.select("block", "text", "runs").mapInArrow(_window_rows(window, shards), "range int, block int, keys binary, twice binary").repartition(shards, "range").sortWithinPartitions("range").mapInArrow(_answers, "block int, keys binary")
-    streams = open_.selectExpr("block", "1 AS kind", "doc_id", "text", "runs", "CAST(NULL AS BINARY) AS keys").unionByName(answers.selectExpr("block", "0 AS kind", f"CAST(NULL AS {kind}) AS doc_id", "CAST(NULL AS STRING) AS text", "CAST(NULL AS BINARY) AS runs", "keys"))
-    changed = streams.repartition(shards, "block").sortWithinPartitions("block", "kind").mapInArrow(_remove(window, keep_text), f"doc_id {kind}, n_words long, n_removed long, kept string")
-    done = located.where("runs is null").selectExpr("doc_id", "n_words", "0L AS n_removed", "text AS kept")
-    return done.unionByName(changed).withColumnRenamed("doc_id", doc_id)
+    streams = open_.selectExpr("block", "1 AS kind", "doc_id", "text", "runs", "CAST(NULL AS BINARY) AS keys", "carried").unionByName(answers.selectExpr("block", "0 AS kind", f"CAST(NULL AS {kind}) AS doc_id", "CAST(NULL AS STRING) AS text", "CAST(NULL AS BINARY) AS runs", "keys", none))
+    changed = streams.repartition(shards, "block").sortWithinPartitions("block", "kind").mapInArrow(_remove(window, keep_text), f"doc_id {kind}, n_words long, n_removed long, kept string, carried {carried}")
+    done = located.where("runs is null").selectExpr("doc_id", "n_words", "0L AS n_removed", "text AS kept", "carried")
+    return done.unionByName(changed).select(F.col("doc_id").alias(doc_id), "n_words", "n_removed", "kept", *(F.col(f"carried.c{k}").alias(c) for k, c in enumerate(carry)))
 
 
 def query(docs: DataFrame) -> DataFrame:
