@@ -57,7 +57,7 @@ def _with_seeds(df: DataFrame, masks: dict[int, str]) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, agree: float = 0.8) -> DataFrame:
     """Per document and item that it holds: start (word where the item's first word lies, may be negative), n_equal aligned words, n_item words."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("words")).where("size(words) > 0")
+    items = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("words"), F.xxhash64(item_id, item_text).alias("number")).where("size(words) > 0").dropDuplicates(["number"])
     masks = dict(enumerate(MASKS, 1))
     longest = max(map(len, MASKS))
     seeds = _with_seeds(items, masks)
@@ -67,13 +67,14 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
         own = items.where((F.size("words") < longest) & (F.least(F.size("words"), F.lit(5)) == len(mask)))
         seeds = seeds.unionByName(_with_seeds(own, {salt: mask}).where("place = 0"))
     masks |= short
-    seeds = seeds.select("seed", "item_id", F.col("words").alias("item"), F.col("place").alias("item_place"))
-    if seeds.count() <= MOST_SEEDS:
-        seeds = F.broadcast(seeds)
+    seeds = seeds.select("seed", F.col("number").alias("item_number"), F.col("place").alias("item_place"))
+    items = items.select(F.col("number").alias("item_number"), "item_id", F.col("words").alias("item"))
+    if seeds.count() <= MOST_SEEDS:  # so both tables are bounded: an item has about as many words as seeds of one mask
+        seeds, items = F.broadcast(seeds), F.broadcast(items)
     # The row numbers keep the planner from moving later conditions below: it would split every text twice, and
     # put the comparison into the join, which would then copy a text's words for each of its seeds.
     texts = docs.select(F.col(doc_id).alias("doc_id"), _words(text).alias("words"), F.monotonically_increasing_id().alias("row"))
-    hits = _with_seeds(texts, masks).join(seeds, "seed").withColumn("start", F.col("place") - F.col("item_place"))
+    hits = _with_seeds(texts, masks).join(seeds, "seed").join(items, "item_number").withColumn("start", F.col("place") - F.col("item_place"))
     near = hits.select("doc_id", "item_id", "start", "item", "row", F.monotonically_increasing_id().alias("hit"), F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item")).alias("part"))
     laid = near.select("doc_id", "item_id", "start", "row", "hit", F.transform("item", lambda h, j: F.when((F.col("start") + j >= 0) & (F.get(F.col("part"), F.least(F.col("start"), F.lit(0)) + j) == h), 1).otherwise(0)).alias("equal"))
     width = F.least(F.size("equal"), F.lit(span))
