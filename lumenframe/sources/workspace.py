@@ -37,5 +37,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back: later stages neither recompute nor need the first executors."""
     spark = df.sparkSession
     path = f"{fresh_folder(spark, name)}/table"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
