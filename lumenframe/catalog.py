@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,7 +58,9 @@ def against_label(data: DataFrame) -> DataFrame:
     return joined.withColumn("r", F.col("flux") - F.col("yhat"))
 
 
-KEEP = F.expr("l % 8 <> 0")
+def kept() -> Column:
+    """The wavelengths that the mask keeps."""
+    return F.col("l") % 8 != 0
 
 
 def masses(spark: SparkSession, d: str) -> DataFrame:
@@ -84,13 +86,13 @@ def recon_worst_best(spark: SparkSession, d: str) -> DataFrame:
     parts = data.select("s", "c", "l").join(label_mean(data), ["c", "l"]).select("s", "l", F.lit(0).alias("k"), "m")
     parts = parts.unionByName(data.select("s", "l").join(data.groupBy("l").agg(F.avg("flux").alias("m")), "l").select("s", "l", F.lit(1).alias("k"), "m"))
     weights = spark.createDataFrame([(0, 0.7), (1, 0.3)], "k int, x double")
-    errors = A.rmse(J.residual(data, J.predict(parts, weights, ["k"])), keep=KEEP)
+    errors = A.rmse(J.residual(data, J.predict(parts, weights, ["k"])), keep=kept())
     return rounded(O.best_and_worst(errors, "rmse", "s", 10), rmse=6)
 
 
 @query(sql("spectra", "SELECT s, round(coalesce(avg(flux) FILTER (WHERE l % 8 <> 0), 0), 6) AS mean FROM spectra GROUP BY s"))
 def masked_mean_flux(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.masked_mean(spectra(spark, d), keep=KEEP), mean=6)
+    return rounded(A.masked_mean(spectra(spark, d), keep=kept()), mean=6)
 
 
 @query(sql("spectra label_mean", "SELECT tile, round(sqrt(avg(power(flux - m, 2))), 6) AS rmse, round(sqrt(sum(flux * flux)), 6) AS norm FROM spectra JOIN label_mean USING (c, l) GROUP BY tile"))
@@ -246,7 +248,7 @@ b AS (SELECT l, med, abs(sum(med) OVER (ORDER BY l ROWS BETWEEN 3 PRECEDING AND
 q AS (SELECT coalesce(quantile_cont(d, 0.95), 1) AS q FROM b WHERE d > 0)
 SELECT l, round(med, 6) AS med, round(least(greatest(CASE WHEN l % 8 <> 0 THEN 0.2 + 0.8 * power(least(greatest(d / (q + 1e-12), 0), 1), 0.9) ELSE 0 END, 1e-6), 1), 6) AS weight FROM b, q"""))
 def lambda_weights(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(N.smoothing_weights(spectra(spark, d), keep=KEEP), med=6, weight=6)
+    return rounded(N.smoothing_weights(spectra(spark, d), keep=kept()), med=6, weight=6)
 
 
 @query(sql("spectra", "SELECT s, l, round(flux - sum(flux) OVER (PARTITION BY s ORDER BY l ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) / 31, 6) AS detrended FROM spectra"))
