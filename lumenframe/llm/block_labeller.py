@@ -17,7 +17,7 @@ from .textkernel import NOT_ALNUM, U64, split, word_hash
 
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 1024, 4096, 20, 8, 7, 20
 #: How the labeller is trained: invented pages, passes, pages a step, seed.
-TRAINING = (3000, 6, 32, 20240601)
+TRAINING = (4000, 6, 32, 20240601)
 
 
 @lru_cache(maxsize=20000)
@@ -59,7 +59,7 @@ class Labeller:
     def __init__(self, seed: int):
         r = np.random.default_rng(seed)
         d = PATH_DIM + WORD_DIM + NUMBERS
-        self.p = {"path": r.normal(0, 0.3, (PATH_BUCKETS, PATH_DIM)), "word": r.normal(0, 0.1, (WORD_BUCKETS, WORD_DIM)), "out": r.normal(0, 0.3, (2 * HIDDEN, 1)), "bias": np.zeros(1)}
+        self.p = {"path": r.normal(0, 0.3, (PATH_BUCKETS, PATH_DIM)), "word": np.zeros((WORD_BUCKETS, WORD_DIM)), "out": r.normal(0, 0.3, (2 * HIDDEN, 1)), "bias": np.zeros(1)}
         for side in "fb":
             self.p |= {f"W{side}": r.normal(0, 0.25, (d, 4 * HIDDEN)), f"U{side}": r.normal(0, 0.25, (HIDDEN, 4 * HIDDEN)), f"c{side}": np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}

@@ -81,7 +81,7 @@ class Sampler:
             each = [r.choice(("<div class='comment'><p>{}</p></div>", "<p>{}</p>", "<div class='comment'><span class='author'>ann</span><p>{}</p></div>", "<li><p>{}</p></li>" if listed else "<div class='comment-body'>{}</div>")).format(self.words(3, 40, cues)) for _ in range(r.randint(1, 5))]
             inside = r.choice(("", f"<h2>{self.words(1, 3, cues)}</h2>", f"<h3>{self.words(1, 3, cues)}</h3>")) + "".join(each)
         elif kind == "form":
-            inside = f"<label>{self.words(1, 3, cues)}</label><input name='q'><button>{self.words(1, 2, cues)}</button>" + (f"<p>{self.words(3, 15, cues)}</p>" if r.random() < 0.5 else "") + ("<select><option>a</option><option>b</option></select>" if r.random() < 0.2 else "")
+            inside = f"<label>{self.words(1, 3, cues)}</label><input name='q'><button>{self.words(1, 2, cues)}</button>" + (f"<p>{self.words(3, 15, cues)}</p>" if r.random() < 0.5 else "") + (f"<select><option>{self.word()}</option><option>{self.word()}</option></select>" if r.random() < 0.2 else "")
         elif kind == "footer":
             inside = r.choice(("&copy; www.site.example.com &middot; {}", "<p>&copy; 2020 {}</p>", "<p>{}</p>", "{}")).format(self.words(2, 14, cues))
         elif kind == "header":
@@ -122,6 +122,9 @@ class Sampler:
             after.append(self.extra("footer"))
         r.shuffle(before)
         inside = self.main()
+        if r.random() < 0.06:  # a fragment
+            opening = r.choice(_MAIN)
+            return r.choice((opening + inside, self.closed(opening, inside), self.closed(opening, f"<p>{_MARK}{self.sentence(1, 12)}")))
         body = inside if r.random() < 0.05 else self.closed(r.choice(_MAIN), inside + (self.extra("comments") if r.random() < 0.1 else ""))
         return head + "".join(before) + body + "".join(after) + r.choice(("</body></html>", "</body></html>", ""))
 
