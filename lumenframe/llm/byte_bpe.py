@@ -41,7 +41,9 @@ from .sharedfs import map_array, write_array
 from .textkernel import _LETTERS, _ODD, U64, _power_tables, buffers, mix64, slices
 
 #: Words in one recursive query, and bytes of them: its tables stay below a few hundred MB.
-WORDS_AT_ONCE, BYTES_AT_ONCE = 40_000, 500_000
+WORDS_AT_ONCE, BYTES_AT_ONCE = 20_000, 250_000
+#: Bytes of text whose words are looked up together: the more, the fewer words are met again.
+SLICE = 4 << 20
 
 STEPS = """
 WITH RECURSIVE step(it, w, p, t) AS (
@@ -96,9 +98,13 @@ def _merges(path: str) -> tuple[pa.Table, pa.Table]:
     return merges, pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "bytes": [t.hex() for t in ranks]})
 
 
-@lru_cache(maxsize=2)
+_engines: dict[str, duckdb.DuckDBPyConnection] = {}
+
+
 def _engine(path: str) -> duckdb.DuckDBPyConnection:
-    db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+    if path in _engines:
+        return _engines[path]
+    db = _engines[path] = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
     merges, vocabulary = _merges(path)
     db.register("given_merges", merges)
     db.register("given_vocabulary", vocabulary)
@@ -148,7 +154,7 @@ def _hashes(p: Pieces) -> np.ndarray:
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, int, Pieces, np.ndarray]]:
     data, offsets = buffers(column)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SLICE):
         p = pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         yield a, b, p, _hashes(p)
 
@@ -219,10 +225,18 @@ def _encode_ranges(path: str, folder: str):
                 rows.append(row)
         if rows:
             yield encode(now, rows)
+        release()
 
     return run
 
 
+def release() -> None:
+    """Gives back the engine's memory: a worker goes on to other tasks."""
+    for path in list(_engines):
+        _engines.pop(path).close()
+    _merges.cache_clear()
+
+
 def _looked_up(keys: np.ndarray, folder: str, shards: int) -> tuple[list[np.ndarray], list[bytes]]:
     """Ids and decoded bytes of sorted distinct word hashes."""
     at = blobs.cut(keys, shards).tolist()
@@ -280,9 +294,9 @@ def decode_ids(ids: list[int], vocabulary: str) -> bytes:
     """The bytes of one list of ids, by the same ordered aggregation."""
     db = _engine(vocabulary)
     db.register("codes", pa.table({"w": np.zeros(len(ids), dtype=np.int32), "p": np.arange(len(ids), dtype=np.int32), "t": np.array(ids, dtype=np.int32)}))
-    row = db.execute(DECODE).fetchone()
+    rows = db.execute(DECODE).fetchall()
     db.unregister("codes")
-    return bytes(row[2]) if row else b""
+    return bytes(rows[0][2]) if rows else b""
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from .textkernel import U64, mix64
 SCHEMA = "shard int, kind string, keys binary, vals binary, stat string"
 _ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("vals", pa.binary()), ("stat", pa.string())])
 #: Keys that a map task holds before it sums and, if they stay, sends them.
-HELD_KEYS = 6_000_000
+HELD_KEYS = 3_000_000
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

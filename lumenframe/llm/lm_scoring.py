@@ -30,7 +30,7 @@ from .textkernel import U64, split_batches
 END_HASH = U64(0xE0D0E0D0E0D0E0D1)
 UNKNOWN, START, FIRST_ID = 0, 1, 2
 ORDER, BITS = 2, 32
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -56,7 +56,7 @@ def _keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[real], offsets + np.arange(texts + 1)
 
 
-def _byte_slices(column: pa.Array, most: int = 4 << 20):
+def _byte_slices(column: pa.Array, most: int = 1 << 20):
     data, offsets = buffers(column)
     for a, b in slices(offsets, most):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]

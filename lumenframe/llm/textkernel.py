@@ -19,7 +19,7 @@ _BASE = U64(0xD1342543DE82EF95)
 _INV = U64(pow(int(_BASE), -1, 1 << 64))
 
 #: Bytes of one slice of work; a longer text is a slice by itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
