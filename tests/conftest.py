@@ -3,11 +3,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from checks import DATA
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -38,16 +38,3 @@ def oracle():
     for f in Path(DATA).glob("*.parquet"):
         db.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     return lambda text: db.sql(text).df()
-
-
-def same(a, b):
-    """Both frames have the same columns and rows, in any order."""
-    columns = sorted(a.columns)
-    assert columns == sorted(b.columns)
-    a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (a, b))
-    assert len(a) == len(b)
-    for c in columns:
-        if a[c].dtype.kind == "f" or b[c].dtype.kind == "f":
-            assert (a[c].astype(float).fillna(-1e99) == b[c].astype(float).fillna(-1e99)).all(), c
-        else:
-            assert (a[c].astype(str) == b[c].astype(str)).all(), c

@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA, same
+from checks import DATA, same
 
 import __spark_entry__
 from lumenframe import catalog
