@@ -28,7 +28,7 @@ from .textkernel import SPACE, U64, Words, buffers, gram_index, grams, mix64, sl
 
 ORDER, BITS = 5, 8
 #: Width of the bands below and above, in robust deviations, and their least half width in log10 per byte.
-SPREAD_LOW, SPREAD_HIGH, LEAST = 8.0, 5.0, 0.02
+SPREAD_LOW, SPREAD_HIGH, LEAST = 8.0, 4.0, 0.02
 #: A text shorter than this has too few bytes for its perplexity to tell.
 LEAST_BYTES = 200
 
