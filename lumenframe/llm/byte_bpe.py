@@ -204,12 +204,15 @@ def _encode_ranges(path: str, folder: str):
             words += [raw[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         key, one = np.unique(np.concatenate(keys), return_index=True)
         ids, texts = encode_words([words[i] for i in one.tolist()], path)
+        spelled = [",".join(map(str, i)).encode() for i in ids]
         for name, array in (
             ("key", key),
             ("n", np.concatenate(([0], np.cumsum([len(i) for i in ids])))),
             ("ids", np.array([x for i in ids for x in i], dtype=np.int32)),
             ("size", np.concatenate(([0], np.cumsum([len(t) for t in texts])))),
             ("text", np.frombuffer(b"".join(texts), dtype=np.uint8)),
+            ("length", np.concatenate(([0], np.cumsum([len(t) for t in spelled])))),
+            ("spelled", np.frombuffer(b"".join(spelled), dtype=np.uint8)),
         ):
             write_array(f"{folder}/{name}-{shard:05d}.npy", array)
         return record_batch({"shard": [shard], "words": [len(key)]}, schema)
@@ -237,39 +240,64 @@ def release() -> None:
     _merges.cache_clear()
 
 
-def _looked_up(keys: np.ndarray, folder: str, shards: int) -> tuple[list[np.ndarray], list[bytes]]:
-    """Ids and decoded bytes of sorted distinct word hashes."""
-    at = blobs.cut(keys, shards).tolist()
-    ids, texts = [], []
-    for k in range(shards):
-        if at[k + 1] > at[k]:
-            i = np.searchsorted(map_array(f"{folder}/key-{k:05d}.npy"), keys[at[k] : at[k + 1]])
-            n, size = map_array(f"{folder}/n-{k:05d}.npy"), map_array(f"{folder}/size-{k:05d}.npy")
-            flat, text = map_array(f"{folder}/ids-{k:05d}.npy"), map_array(f"{folder}/text-{k:05d}.npy")
-            ids += [flat[a:b] for a, b in zip(n[i].tolist(), n[i + 1].tolist(), strict=True)]
-            raw = memoryview(text)
-            texts += [bytes(raw[a:b]) for a, b in zip(size[i].tolist(), size[i + 1].tolist(), strict=True)]
-    return ids, texts
+def _parts(folder: str, offsets: str, values: str, shard: int, at: np.ndarray) -> list[bytes]:
+    ends, raw = map_array(f"{folder}/{offsets}-{shard:05d}.npy"), memoryview(map_array(f"{folder}/{values}-{shard:05d}.npy"))
+    return [bytes(raw[a:b]) for a, b in zip(ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
+
+
+class _Known:
+    """The codes of the words that a task has met: looked up once each."""
+
+    MOST = 600_000
+
+    def __init__(self, folder: str, shards: int, digest: bool):
+        self.folder, self.shards, self.digest = folder, shards, digest
+        self.keys, self.counts = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        self.codes, self.texts = np.zeros(0, dtype=object), np.zeros(0, dtype=object)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where sorted distinct hashes are among ``keys``, after the new ones are added."""
+        if len(self.keys) + len(keys) > self.MOST:
+            self.__init__(self.folder, self.shards, self.digest)
+        new = keys[~np.isin(keys, self.keys, assume_unique=True, kind="sort")]
+        if len(new):
+            counts, codes, texts = [], [], []
+            at = blobs.cut(new, self.shards).tolist()
+            for k in range(self.shards):
+                if at[k + 1] > at[k]:
+                    i = np.searchsorted(map_array(f"{self.folder}/key-{k:05d}.npy"), new[at[k] : at[k + 1]])
+                    n = map_array(f"{self.folder}/n-{k:05d}.npy")
+                    counts.append(n[i + 1] - n[i])
+                    if self.digest:
+                        codes += _parts(self.folder, "length", "spelled", k, i)
+                    else:
+                        flat = map_array(f"{self.folder}/ids-{k:05d}.npy")
+                        codes += [flat[a:b] for a, b in zip(n[i].tolist(), n[i + 1].tolist(), strict=True)]
+                    texts += _parts(self.folder, "size", "text", k, i)
+            order = np.argsort(np.concatenate((self.keys, new)), kind="stable")
+            self.keys = np.concatenate((self.keys, new))[order]
+            self.counts = np.concatenate((self.counts, *counts))[order]
+            self.codes, self.texts = (np.array([*old.tolist(), *more, None], dtype=object)[:-1][order] for old, more in ((self.codes, codes), (self.texts, texts)))
+        return np.searchsorted(self.keys, keys)
 
 
 def _codes(folder: str, shards: int, doc_id: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(folder, shards, digest)
         for batch in batches:
             last = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digest else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
             schema = pa.schema([(doc_id, batch.schema.field(0).type), ("n_tokens", pa.int64()), *last])
             for a, b, p, h in _pieces(batch.column(1)):
                 keys, back = np.unique(h, return_inverse=True)
-                ids, texts = _looked_up(keys, folder, shards)
-                counts = np.array([len(i) for i in ids], dtype=np.int64)[back] if len(keys) else np.zeros(0, np.int64)
-                total = np.concatenate(([0], np.cumsum(counts)))[p.first]
-                text = np.array([*texts, None], dtype=object)[:-1][back].tolist()
-                decoded = [b"".join(text[x:y]) for x, y in zip(p.first[:-1].tolist(), p.first[1:].tolist(), strict=True)]
+                at = known.places(keys)[back]
+                total = np.concatenate(([0], np.cumsum(known.counts[at])))[p.first]
+                bounds = list(zip(p.first[:-1].tolist(), p.first[1:].tolist(), strict=True))
+                text, code = known.texts[at].tolist(), known.codes[at].tolist()
+                decoded = [b"".join(text[x:y]) for x, y in bounds]
                 if digest:
-                    spelled = np.array([*(",".join(map(str, i.tolist())) for i in ids), None], dtype=object)[:-1][back].tolist()
-                    first = [hashlib.sha256(",".join(spelled[x:y]).encode()).hexdigest() for x, y in zip(p.first[:-1].tolist(), p.first[1:].tolist(), strict=True)]
-                    columns = {"ids_sha256": first, "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in decoded]}
+                    columns = {"ids_sha256": [hashlib.sha256(b",".join(code[x:y])).hexdigest() for x, y in bounds], "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in decoded]}
                 else:
-                    flat = np.concatenate([ids[k] for k in back.tolist()]) if len(back) else np.zeros(0, np.int32)
+                    flat = np.concatenate(code) if code else np.zeros(0, np.int32)
                     columns = {"ids": pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(flat, type=pa.int32())), "decoded": [t.decode() for t in decoded]}
                 yield record_batch({doc_id: batch.column(0).slice(a, b - a), "n_tokens": np.diff(total), **columns}, schema)
 
