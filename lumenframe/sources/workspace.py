@@ -15,7 +15,7 @@ def shared_root(spark: SparkSession) -> str:
     """URI of the shared folder: ``spark.checkpoint.dir`` of the session, else a folder of one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{FALLBACK}/{uuid.uuid5(uuid.NAMESPACE_OID, tempfile.gettempdir()).hex[:8]}"
         spark.conf.set("spark.checkpoint.dir", root)
@@ -33,9 +33,14 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it back: later stages neither recompute nor need the first executors."""
+def materialise(df: DataFrame, name: str, rows_per_task: int | None = None) -> DataFrame:
+    """Writes a table in the shared folder and reads it back: later stages neither recompute nor need the first executors.
+
+    With ``rows_per_task`` the table is read by as many tasks as its rows call for, however many files it has: a small
+    table then makes few shuffle files, and a large one keeps its parallelism.
+    """
     spark = df.sparkSession
     path = f"{fresh_folder(spark, name)}/table"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.coalesce(max(1, -(-out.count() // rows_per_task))) if rows_per_task else out
