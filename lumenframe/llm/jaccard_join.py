@@ -5,8 +5,9 @@ share a token in the first n - ceil(0.8 n) + 1 tokens of each, under every
 order of all tokens that both use.  The first order puts tokens of crowded hash
 buckets last (bucket counts over all documents, a table of fixed size); an
 index of its prefixes finds candidates, with the bound that a token's place in
-both sets puts on their overlap.  Two further orders, by other hashes, must
-also give a shared prefix token before a candidate's sets are intersected.
+both sets puts on their overlap.  Two further orders, with other hashes within
+the classes, must also give a shared prefix token, within the same bound, before
+a candidate's sets are intersected.
 
 Equal sets are one node from the start.  Each group of documents that share a
 prefix token is first compared with its leader, the member with the fewest
@@ -43,6 +44,8 @@ WIDTH = 5
 BUCKET_BITS, BUCKET_BLOCKS = 20, 64
 #: Keys of the orders after the first.
 OTHER_ORDERS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
+#: Rows of a table of ids or links that one task reads, and a hundred times the sets.
+ROWS = 200_000
 #: Members of a group compared in one block.
 BLOCK = 4096
 #: Bits of the filter of wanted ids: 16 for each id, between these bounds (at most 16 MB).
@@ -223,42 +226,64 @@ def _wanted_sets(width: int, flags: np.ndarray, bits: int):
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(flags[(mix64(ids.view(U64)) >> U64(64 - bits)).astype(np.int64)]))
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
-            yield record_batch({"doc": batch.column(0), "tokens": sets}, schema)
+            yield record_batch({"doc": batch.column(0), "tokens": [s.tobytes() for s in shingle_sets(batch.column(1), width)]}, schema)
 
     return run
 
 
-def _share_prefix(a: np.ndarray, b: np.ndarray) -> bool:
+def _prefix(s: np.ndarray, key: np.uint64, classes: np.ndarray) -> np.ndarray:
+    """A set's prefix under the order that the key makes within the classes, as places in that order."""
+    if not len(s):
+        return s
+    p = prefix_size(len(s))
+    return np.sort(np.partition(classes[(s >> U64(64 - BUCKET_BITS)).astype(np.int32)].astype(U64) << U64(56) | mix64(s ^ key) >> U64(8), p - 1)[:p])
+
+
+def _meet(a: np.ndarray, b: np.ndarray, classes: np.ndarray) -> bool:
+    """Whether two sets share a prefix token under every further order, early enough for their overlap."""
     for key in OTHER_ORDERS:
-        pa_, pb = (np.partition(mix64(s ^ key), prefix_size(len(s)) - 1)[: prefix_size(len(s))] for s in (a, b))
-        if not np.isin(pa_, pb, kind="sort").any():
+        _, i, j = np.intersect1d(_prefix(a, key, classes), _prefix(b, key, classes), assume_unique=True, return_indices=True)
+        if not len(i) or min(len(a) - i[0], len(b) - j[0]) < least_overlap(len(a), len(b)):
             return False
     return True
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
-            if _share_prefix(x, y) and len(np.intersect1d(x, y, assume_unique=True)) >= least_overlap(len(x), len(y)):
-                out.append((a, b))
-        yield record_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, _PAIR)
+def _verified(classes: np.ndarray):
+    """Rows (a, b, doc, tokens) sorted by pair: the pairs that meet under the further orders and overlap enough.  Holds one set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, other, first, done = None, None, None, False
+        for batch in batches:
+            out = []
+            for a, b, doc, tokens in zip(*batch.columns, strict=True):
+                a, b, doc = a.as_py(), b.as_py(), doc.as_py()
+                if (a, b) != pair:
+                    pair, other, first, done = (a, b), doc, np.frombuffer(tokens.as_py(), dtype=U64), False
+                elif doc != other and not done:
+                    second, done = np.frombuffer(tokens.as_py(), dtype=U64), True
+                    if _meet(first, second, classes) and len(np.intersect1d(first, second, assume_unique=True)) >= least_overlap(len(first), len(second)):
+                        out.append(pair)
+            yield record_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, _PAIR)
+
+    return run
+
 
+def verify(texts: DataFrame, pairs: DataFrame, width: int, classes: np.ndarray) -> DataFrame:
+    """The pairs whose sets are similar enough.
 
-def verify(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs whose sets are similar enough.  Sets are made again from the texts, only for the documents in pairs."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    Sets are made again from the texts, only for the documents in pairs, and shipped to each of their pairs once.
+    """
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted", ROWS)
     count = wanted.count()
     bits = min(max((16 * count).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     flags = np.zeros(1 << bits, dtype=bool)
     for row in wanted.coalesce(16).mapInArrow(_filter_rows(bits), "flags binary").collect():  # at most 16 rows of at most 16 MB
         flags |= np.unpackbits(np.frombuffer(zstandard.decompress(bytes(row["flags"])), dtype=np.uint8)).astype(bool)
-    sets = texts.mapInArrow(_wanted_sets(width, flags, bits), "doc long, tokens binary").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    sets = materialise(sets, "sets")
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialise(joined.mapInArrow(_verified, "a long, b long"), "verified")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc"))
+    sets = texts.mapInArrow(_wanted_sets(width, flags, bits), "doc long, tokens binary").join(ends, "doc").select("a", "b", "doc", "tokens")
+    parts = max(pairs.rdd.getNumPartitions(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = sets.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "doc")
+    return materialise(met.mapInArrow(_verified(classes), "a long, b long"), "verified", ROWS)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -266,39 +291,40 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(texts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    told = materialise(texts.mapInArrow(_signatures(width), "doc_id long, n long, f1 long, f2 long, block int, counts binary"), "signatures")
+    told = materialise(texts.mapInArrow(_signatures(width), "doc_id long, n long, f1 long, f2 long, block int, counts binary"), "signatures", ROWS)
     signatures = told.where("block is null").select("doc_id", "n", "f1", "f2")
     table = np.zeros((BUCKET_BLOCKS, (1 << BUCKET_BITS) // BUCKET_BLOCKS), dtype=np.uint8)
     blocks = told.where("block is not null").select("block", "counts").repartition(BUCKET_BLOCKS, "block").mapInArrow(_classes, "block int, classes binary")
     for row in blocks.collect():  # 64 rows, 1 MB together, whatever the corpus
         table[row["block"]] = np.frombuffer(row["classes"], dtype=np.uint8)
+    order = table.reshape(-1)
     nodes = signatures.where("n > 0 and doc_id is not null")
     keys = ["n", "f1", "f2"]
-    copies = materialise(nodes.join(nodes.groupBy(keys).agg(F.min("doc_id").alias("same")), keys).where("doc_id <> same").select("doc_id", "same").distinct(), "copies")
+    copies = materialise(nodes.join(nodes.groupBy(keys).agg(F.min("doc_id").alias("same")), keys).where("doc_id <> same").select("doc_id", "same").distinct(), "copies", ROWS)
 
-    prefixes = texts.mapInArrow(_prefixes(width, table.reshape(-1)), "token long, doc long, n int, pos int")
+    prefixes = texts.mapInArrow(_prefixes(width, order), "token long, doc long, n int, pos int")
     met = prefixes.repartition(parts, "token").sortWithinPartitions("token", "pos", "n", "doc").mapInArrow(_hits, "token long, doc long, n int, pos int, leader long, leader_n int, leader_pos int")
-    hits = materialise(met, "prefix-hits")
+    hits = materialise(met, "prefix-hits", ROWS)
 
     def one(df: DataFrame, column: str) -> DataFrame:
         """Replaces a document by the smallest with an equal set."""
         return df.join(copies.select(F.col("doc_id").alias(column), "same"), column, "left").withColumn(column, F.coalesce("same", column)).drop("same")
 
     near = hits.where(_within(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"))).select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = materialise(one(one(near, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "leader-pairs")
-    links = verify(texts, pairs, width)
+    pairs = materialise(one(one(near, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "leader-pairs", ROWS)
+    links = verify(texts, pairs, width, order)
     found = connected(links)
 
     members = hits.select("token", "doc", "n", "pos").unionByName(hits.select("token", F.col("leader").alias("doc"), F.col("leader_n").alias("n"), F.col("leader_pos").alias("pos")))
     members = one(members.distinct(), "doc").distinct().join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    members = materialise(members.select("token", "doc", "n", "pos", "component"), "members")
+    members = materialise(members.select("token", "doc", "n", "pos", "component"), "members", ROWS)
     mixed = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     blocked = members.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     cross = blocked.select("token", "doc", "n", "pos", "component", "low", "high", "own").repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_cross_pairs, "a long, b long")
-    rest = materialise(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
+    rest = materialise(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs", ROWS)
     if not rest.isEmpty():
-        found = connected(links.unionByName(verify(texts, rest, width)))
+        found = connected(links.unionByName(verify(texts, rest, width, order)))
 
     final = signatures.join(copies, "doc_id", "left").withColumn("node", F.coalesce("same", "doc_id")).join(found, "node", "left")
     return final.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
