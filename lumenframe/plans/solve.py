@@ -142,6 +142,44 @@ def working_set(eq: NormalEquations, per_component: int = 32, coherence: float =
     return x
 
 
+def prune(eq: NormalEquations, x: np.ndarray, coherence: float = 0.995) -> np.ndarray:
+    """Keeps columns in the order of their weights unless a kept one is too like them, and solves again on what is left."""
+    n = np.sqrt(np.maximum(np.diag(eq.g), 1e-300))
+    cos = np.abs(eq.g) / np.outer(n, n)
+    kept: list[int] = []
+    for i in np.argsort(-x, kind="stable"):
+        if x[i] > 0 and (not kept or cos[i, kept].max() <= coherence):
+            kept.append(int(i))
+    out = np.zeros(len(x))
+    if kept:
+        out[kept] = nnls_active_set(eq.g[np.ix_(kept, kept)], eq.b[kept])
+    return out
+
+
+def cosine_rate(rate: float, step: int, steps: int, least: float = 0.0) -> float:
+    """The rate of a step, falling along half a cosine from the first to the last."""
+    part = 0.0 if steps <= 1 else min(max(step / (steps - 1), 0.0), 1.0)
+    return least + (rate - least) * 0.5 * (1 + float(np.cos(np.pi * part)))
+
+
+def barzilai_borwein(dx: np.ndarray, dg: np.ndarray, otherwise: float) -> float:
+    """Step length from the last change of the weights and of the gradient."""
+    curve = float(dx @ dg)
+    return float(dx @ dx) / curve if curve > 1e-300 else otherwise
+
+
+def trust_scale(dx: np.ndarray, energy: np.ndarray, norm: float, trust: float = 0.5) -> float:
+    """Factor that keeps a step's energy within (trust * norm)^2."""
+    size = float(np.sqrt(np.sum(dx * dx * energy)))
+    return 1.0 if size <= trust * norm else trust * norm / size
+
+
+def break_symmetry(solution: DataFrame, eps: float = 1e-6, seed: int = 7) -> DataFrame:
+    """Adds small positive noise that a hash of the column makes, so that equal columns part; the same every time."""
+    noise = F.pmod(F.xxhash64(F.lit(seed), "c", "p"), F.lit(1_000_003)) / 1_000_003
+    return solution.select("c", "p", (F.col("x") + eps * noise).alias("x"))
+
+
 def jacobi_seed(models: DataFrame, data: DataFrame, eps: float = 1e-12) -> DataFrame:
     """max(0, b / d) of each column from one pass over mean-centred models and data."""
     means = models.groupBy("s", "c", "p").agg(F.avg("m").alias("mm"))

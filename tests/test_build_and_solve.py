@@ -105,6 +105,19 @@ def test_solvers_recover(problem):
     assert eq.objective(w) < 1e-6 * eq.yy
 
 
+def test_pruning_and_steps(problem):
+    _, planted, _ = problem
+    g = np.array([[1.0, 0.999, 0.0], [0.999, 1.0, 0.0], [0.0, 0.0, 4.0]])
+    eq = solve.NormalEquations([(0, 0), (0, 1), (1, 0)], g, g @ np.array([1.0, 1.0, 2.0]), 100.0)
+    x = solve.prune(eq, np.array([1.5, 0.5, 2.0]), 0.995)
+    assert x[1] == 0 and abs(x[0] - 1.999) < 1e-9 and abs(x[2] - 2) < 1e-9
+    assert solve.cosine_rate(0.1, 0, 5) == 0.1 and abs(solve.cosine_rate(0.1, 4, 5)) < 1e-12
+    assert solve.barzilai_borwein(np.array([2.0]), np.array([4.0]), 9.0) == 0.5 and solve.barzilai_borwein(np.zeros(1), np.zeros(1), 9.0) == 9.0
+    assert solve.trust_scale(np.array([3.0, 4.0]), np.ones(2), 5.0, 0.5) == 0.5
+    a, b = (sorted(tuple(r) for r in solve.break_symmetry(planted).collect()) for _ in range(2))
+    assert a == b and len({r[2] for r in a}) > len(planted.select("x").distinct().collect())
+
+
 def test_epochs_never_rise(problem):
     models, planted, data = problem
     x, history = solve.solve_by_epochs(models, data, planted.withColumn("x", F.lit(0.5)), solve.SolverConfig(epochs=3))
