@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,8 +16,9 @@ def support_by_amplitude(amplitudes: DataFrame, eps: float = 1e-12) -> DataFrame
 
 def support_by_energy(energies: DataFrame, rel: float = 1e-6) -> DataFrame:
     """A component is supported in a tile if its energy exceeds rel times the tile's median positive energy; nothing in an empty tile."""
-    middle = energies.where("energy > 0").groupBy("tile").agg(F.median("energy").alias("middle"))
-    return energies.join(middle, "tile", "left").select("tile", "c", F.coalesce(F.col("energy") > rel * F.col("middle"), F.lit(False)).alias("energy_ok"))
+    # One row for each tile and component: a tile's window is as long as there are components.
+    middle = F.median(F.when(F.col("energy") > 0, F.col("energy"))).over(W.partitionBy("tile"))
+    return energies.withColumn("middle", middle).select("tile", "c", F.coalesce(F.col("energy") > rel * F.col("middle"), F.lit(False)).alias("energy_ok"))
 
 
 def both_supports(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -25,10 +27,10 @@ def both_supports(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def freeze_tiny(gradients: DataFrame, rel: float = 1e-6, absolute: float = 1e-24) -> DataFrame:
     """Columns whose diagonal is tiny beside the median positive one of their component get no gradient and an infinite diagonal."""
-    middle = gradients.where("d > 0").groupBy("c").agg(F.median("d").alias("middle"))
+    # One row for each column: a component's window is as long as there are populations, and the sums are made once.
+    middle = F.median(F.when(F.col("d") > 0, F.col("d"))).over(W.partitionBy("c"))
     tiny = F.col("d") <= F.greatest(F.lit(absolute), rel * F.coalesce("middle", F.lit(0.0)))
-    joined = gradients.join(middle, "c", "left")
-    return joined.select("c", "p", F.when(tiny, 0.0).otherwise(F.col("g")).alias("g"), F.when(tiny, float("inf")).otherwise(F.col("d")).alias("d"), tiny.alias("frozen"))
+    return gradients.withColumn("middle", middle).select("c", "p", F.when(tiny, 0.0).otherwise(F.col("g")).alias("g"), F.when(tiny, float("inf")).otherwise(F.col("d")).alias("d"), tiny.alias("frozen"))
 
 
 def active_components(state: DataFrame, mass_eps: float = 1e-12, grad_eps: float = 1e-10, least: int = 8) -> DataFrame:
