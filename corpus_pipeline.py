@@ -4,10 +4,12 @@ Each stage takes the documents that the one before it kept and returns
 documents, the last one their codes.  The stages work on whole texts; what one
 drops or cuts is gone for the next.
 
-Defined cases: an empty table stays empty through all stages; rows without an id
-are judged by their texts, are in no group of copies, and stay; a stage that
-drops documents by id drops every row of that id; extra columns of the input are
-left behind by the first stage.
+Defined cases: an empty table stays empty through all stages; the first two
+stages know a row by a 64-bit hash of its columns, so rows without an id and rows
+that share an id are judged by their texts, and of rows alike one stays; a text
+without words is in no group of copies and stays; a stage that drops documents by
+id drops every row of that id; extra columns of the input are left behind by the
+first stage.
 """
 
 from __future__ import annotations
@@ -31,9 +33,16 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    others = jaccard_join.classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates: one with the smallest id, or without an id where none has one."""
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
+    found = jaccard_join.classes(keyed, "row_key").where("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    rows = keyed.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    nodes = materialise(rows.join(found, "row_key"), "row-groups", jaccard_join.ROWS)
+    stays = nodes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("row_key"))
+    repeated = nodes.where("n > 1").join(stays, "row_key", "left_semi").select("row_key")
+    others = nodes.join(stays, "row_key", "left_anti").select("row_key").unionByName(repeated)
+    one = keyed.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return keyed.join(others, "row_key", "left_anti").unionByName(one).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

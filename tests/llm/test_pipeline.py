@@ -49,3 +49,16 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert run_all(spark, empty(spark), str(tmp_path)).isEmpty()
+
+
+def test_one_row_of_copies_stays(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    repeated, unnamed, mixed, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "abcd")
+    data = [*rows(), (900, repeated), (900, repeated), (None, unnamed), (None, unnamed), (None, mixed), (901, mixed), (902, mixed), (900, other), (None, None), (None, "")]
+    two = pipeline.drop_near_copies(spark, documents(spark, data).repartition(3), str(tmp_path)).cache()
+    kept = [(r["doc_id"], r["text"]) for r in two.collect()]
+    for row in [(900, repeated), (None, unnamed), (901, mixed), (900, other), (None, None), (None, ""), rows()[3]]:
+        assert kept.count(row) == 1, row
+    assert not {(None, mixed), (902, mixed)} & set(kept) and two.columns == list(pipeline.COLUMNS)
+    three = [r["text"] for r in pipeline.cut_repeats(spark, two, str(tmp_path)).collect()]
+    assert all(three.count(t) == 1 for t in (repeated, unnamed, mixed, other))
