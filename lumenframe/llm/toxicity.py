@@ -1,11 +1,14 @@
 """Toxicity of texts by a weighted finite-state grammar over clauses.
 
 Words become symbols: insults of three strengths, threats, targets, negations,
-words of reported speech.  Which words and word beginnings are insults, and how
-strong, is learned from labelled texts.  Transducers for negation, reported
-speech, targets and scores are composed into one machine; its best path over a
-clause is the clause's score.  A text's score is a logistic function of its
-clauses' scores, fitted to the same labelled texts.
+words of reported speech, and the parts of phrases.  Which words and word
+beginnings are insults, and how strong, is learned from labelled texts.
+Transducers for contractions, threats, insults, negation, reported speech,
+targets and scores are composed into one machine; its best path over a clause is
+the clause's score.  The threats' and insults' transducers read phrases of several
+words (``you will regret``, ``piece of trash``), which come from fixed lists.  A
+text's score is a logistic function of its clauses' scores, fitted to the same
+labelled texts.
 
 The labelled texts are at most ``MOST_LABELLED``, chosen by a hash of the id;
 of texts alike only one is used, so that copies do not count as evidence.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch
+from .common import record_batch, running
 from .labelled import held_out, sample
 from .textkernel import _LETTERS, _ODD, NOT_ALNUM, U64, Words, _power_tables, gram_index, grams, mix64, signed, split_batches, unsigned, word_hash
 from .transducers import Compiled, Transducer
@@ -41,22 +44,81 @@ THRESHOLD = 0.3
 #: Small word lists of the grammar.
 THREATS = "kill murder destroy hurt beat punch shoot stab burn hang hunt töten umbringen schlagen verletzen tuer frapper détruire blesser matar golpear destruir".split()
 TARGETS = "you your yours yourself he him she her they them their du dich dir dein ihr euch sie tu te toi vous votre vos il ils elles tú ti usted ustedes ellos ellas vosotros".split()
-NEGATIONS = "not never isn't aren't don't doesn't cannot nobody nicht niemals kein keine jamais aucun nunca jamás tampoco ningún".split()
+NEGATIONS = "not never isn’t aren’t don’t doesn’t can’t won’t cannot nobody nicht niemals kein keine jamais aucun nunca jamás tampoco ningún".split()
 REPORTS = "said says wrote writes called claimed quoted reported allegedly sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
-
-OTHER, TARGET, NEGATION, REPORT, THREAT, MILD, STRONG, STRONGEST = range(8)
-SYMBOLS = ("o", "u", "n", "r", "t", "i1", "i2", "i3")
+#: "isn't" is the words isn and t: the first parts of contracted negations, and the second.
+CONTRACTED, CONTRACTION = "isn aren wasn weren don doesn didn can couldn won wouldn shouldn hasn haven hadn ain".split(), ["t"]
+#: Parts of phrases that threaten: what is meant to be done, and what will come to the one addressed.
+INTENTS = "will shall going gonna ll werde wirst werdet werden vais vas va allez voy vamos".split()
+DOOMS = "suffer regret pay bleed sterben leiden bereuen büßen mourir souffrir regretter payer morir sufrir pagar lamentar".split()
+#: German has "die" in most sentences and never "you", so that it is a doom for "you" only.
+YOU, DIE = ["you"], ["die"]
+#: Parts of phrases that insult: "fucking" before an insult, "piece", "of" and "trash".
+STRESSES = "fucking damn damned bloody complete total absolute utter völliger totaler absoluter verdammter verdammte sale gros pauvre maldito maldita puto puta".split()
+HEADS, LINKS = "piece waste load bunch pile sack stück haufen tas bande pedazo montón".split(), "of de".split()
+THINGS = "shit crap trash garbage dirt filth space air oxygen dreck scheiße müll abschaum merde ordures mierda basura".split()
+
+OTHER, TARGET, NEGATION, REPORT, CONTRACT, APOSTROPHE, INTENT, STRESS, HEAD, LINK, ADDRESSED, DEATH, DOOM, THING, THREAT, MILD, STRONG, STRONGEST = range(18)
+SYMBOLS = ("o", "u", "n", "r", "c", "c'", "w", "s", "h", "l", "y", "e", "d", "x", "t", "i1", "i2", "i3")
+#: What is left of them after the first three transducers.
+_PLAIN = ("o", "u", "n", "r", "t", "i1", "i2", "i3")
 _HITS = ("t", "i1", "i2", "i3")
 _WEIGHT = {"t": 1.0, "i1": 1.0, "i2": 2.0, "i3": 3.0}
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".!?;:,\n")] = True
 
 
+def _contractions() -> Transducer:
+    """The two words of a contracted negation are one negation."""
+    t = Transducer()
+    for state in (0, 1):
+        for s in SYMBOLS:
+            out = "o" if s == "c" else ("n" if state else "o") if s == "c'" else s
+            t.arc(state, s, out, 0.0, int(s == "c"))
+    return t
+
+
+def _threats(reach: int = 3, bonus: float = 0.5) -> Transducer:
+    """A threat up to ``reach`` words after an intent that is not the target's own weighs more; a doom so after a target's intent is a threat, and elsewhere nothing."""
+    t = Transducer()
+    states = [("", 0), *((kind, k) for kind in ("u", "y") for k in (1, 2)), *((kind, k) for kind in ("w", "uw", "yw") for k in range(1, reach + 1))]
+    t.start = states[0]
+    for kind, left in states:
+        passed = (kind, left - 1) if left > 1 else t.start
+        for s in SYMBOLS:
+            if s in ("c", "c'"):
+                continue
+            to, out = passed, {"y": "u", "w": "o", "d": "o", "e": "o"}.get(s, s)
+            if s == "w":
+                to = (f"{kind[:1].replace('w', '')}w", reach)
+            elif s in ("u", "y") and (kind in ("", "u", "y") or left == 1):
+                to = (s, 2)
+            if s == "d" and kind in ("uw", "yw") or s == "e" and kind == "yw":
+                out = "t"
+            t.arc((kind, left), s, out, bonus if s == "t" and kind == "w" else 0.0, to)
+    return t
+
+
+def _insults() -> Transducer:
+    """An insult after a stressing word is one step stronger; a head, a link and a thing, or a head and a thing, are a strong insult."""
+    t = Transducer()
+    for state in ("", "s", "h", "hl"):
+        for s in (*_PLAIN, "s", "h", "l", "x"):
+            out = s if s in _PLAIN else "o"
+            if state == "s" and s in ("i1", "i2"):
+                out = {"i1": "i2", "i2": "i3"}[s]
+            elif s == "x" and state in ("h", "hl"):
+                out = "i2"
+            t.arc(state, s, out, 0.0, s if s in ("s", "h") else "hl" if s == "l" and state == "h" else "")
+    t.start = ""
+    return t
+
+
 def _negation(reach: int = 3) -> Transducer:
     """A hit up to ``reach`` words after a negation is marked as negated."""
     t = Transducer()
     for state in range(reach + 1):
-        for s in SYMBOLS:
+        for s in _PLAIN:
             t.arc(state, s, f"{s}-" if s in _HITS and state else s, 0.0, reach if s == "n" else max(state - 1, 0))
     return t
 
@@ -64,7 +126,7 @@ def _negation(reach: int = 3) -> Transducer:
 def _reported() -> Transducer:
     """Hits after a word of reported speech are marked as reported."""
     t = Transducer()
-    symbols = [*SYMBOLS, *(f"{h}-" for h in _HITS)]
+    symbols = [*_PLAIN, *(f"{h}-" for h in _HITS)]
     for state in (0, 1):
         for s in symbols:
             t.arc(state, s, f"{s}~" if state and s[:-1] in _HITS + tuple(f"{h}" for h in _HITS) or state and s in _HITS else s, 0.0, 1 if s == "r" else state)
@@ -75,9 +137,17 @@ def _target(reach: int = 4, bonus: float = 0.5) -> Transducer:
     """A hit up to ``reach`` words after a target, or before one, weighs more; the machine guesses the one that comes and must then meet it."""
     t = Transducer()
     hits = [h + m for h in _HITS for m in ("", "-", "~", "-~")]
-    for s in [*(x for x in SYMBOLS if x not in _HITS), *hits]:
+    for s in [*(x for x in _PLAIN if x not in _HITS), *hits]:
         for state in range(reach + 1):
             t.arc(state, s, s, bonus if s in hits and state else 0.0, reach if s == "u" else max(state - 1, 0))
+        if s in hits:
+            t.arc(0, s, s, bonus, -reach)
+        for owed in range(1, reach + 1):
+            if s == "u":
+                t.arc(-owed, s, s, 0.0, reach)
+            elif owed > 1:
+                t.arc(-owed, s, s, bonus if s in hits else 0.0, 1 - owed)
+    t.open = set(range(-reach, 0))
     return t
 
 
@@ -87,7 +157,7 @@ def _scores() -> Transducer:
     for h in _HITS:
         for mark, share in (("", 1.0), ("-", 0.4), ("~", 0.6), ("-~", 0.3)):
             t.arc(0, h + mark, "hit", _WEIGHT[h] * share, 0)
-    for s in SYMBOLS:
+    for s in _PLAIN:
         if s not in _HITS:
             t.arc(0, s, "-", 0.0, 0)
     return t
@@ -95,7 +165,8 @@ def _scores() -> Transducer:
 
 @lru_cache(maxsize=1)
 def grammar() -> Compiled:
-    return _negation().compose(_reported()).compose(_target()).compose(_scores()).compiled()
+    marks = _negation().compose(_reported()).compose(_target()).compose(_scores())
+    return _contractions().compose(_threats()).compose(_insults()).compose(marks).compiled()
 
 
 @lru_cache(maxsize=65536)
@@ -105,7 +176,8 @@ def clause_score(symbols: bytes) -> float:
 
 @lru_cache(maxsize=1)
 def _fixed() -> tuple[np.ndarray, np.ndarray]:
-    pairs = sorted((word_hash(w), s) for words, s in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)) for w in words)
+    parts = ((CONTRACTED, CONTRACT), (CONTRACTION, APOSTROPHE), (INTENTS, INTENT), (STRESSES, STRESS), (HEADS, HEAD), (LINKS, LINK), (DOOMS, DOOM), (DIE, DEATH), (THINGS, THING))
+    pairs = sorted((word_hash(w), s) for words, s in (([w for w in TARGETS if w not in YOU], TARGET), (YOU, ADDRESSED), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT), *parts) for w in words)
     return np.array([h for h, _ in pairs], dtype=U64), np.array([s for _, s in pairs], dtype=np.uint8)
 
 
@@ -158,14 +230,15 @@ class Model:
                 np.maximum.at(strong, words[at], value)
             symbols = np.maximum(symbols, strong)
         hits = np.flatnonzero(symbols >= THREAT)
+        ends = np.concatenate([hits, *(_led(symbols, *phrase) for phrase in ((DOOM, INTENT, 3), (DEATH, INTENT, 3), (THING, HEAD, 2)))])
         n = len(w)
         out = np.zeros((n, 6))
         out[:, 4] = np.log1p(w.counts)
-        if not len(hits):
+        if not len(ends):
             return out
         clause = np.concatenate(([0], np.cumsum(_BREAK[w.data])))[w.start] * 1 + w.text_of * (len(w.data) + 1)
         bounds = np.flatnonzero(np.concatenate(([True], clause[1:] != clause[:-1], [True])))
-        mine = np.unique(np.searchsorted(bounds, hits, side="right") - 1)
+        mine = np.unique(np.searchsorted(bounds, ends, side="right") - 1)
         text = np.searchsorted(w.first, bounds[mine], side="right") - 1
         raw = symbols.tobytes()
         scores = np.array([clause_score(raw[a:b] if b - a <= 64 else _short(raw[a:b])) for a, b in zip(bounds[mine].tolist(), bounds[mine + 1].tolist(), strict=True)])
@@ -184,6 +257,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _led(symbols: np.ndarray, last: int, lead: int, reach: int) -> np.ndarray:
+    """Places of words that may end a phrase, as one that leads it is at most ``reach`` words before."""
+    at = np.flatnonzero(symbols == last)
+    before = running(symbols == lead)
+    return at[before[at] > before[np.maximum(at - reach, 0)]]
+
+
 def _short(symbols: bytes) -> bytes:
     """A long clause without the runs of other words beyond every reach, which score nothing."""
     a = np.frombuffer(symbols, dtype=np.uint8)

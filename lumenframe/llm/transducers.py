@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 
 @dataclass
 class Transducer:
-    """Arcs (symbol in, symbol out, weight, next state) by state; every state may be the last.  Weights of a path add; the best path has the largest sum."""
+    """Arcs (symbol in, symbol out, weight, next state) by state; every state but the open ones may be the last.  Weights of a path add; the best path has the largest sum."""
 
     start: object = 0
     arcs: dict = field(default_factory=lambda: defaultdict(list))
+    open: set = field(default_factory=set)
 
     def arc(self, state, symbol: str, out: str, weight: float, to) -> None:
         self.arcs[state].append((symbol, out, weight, to))
@@ -20,16 +21,21 @@ class Transducer:
         """Reads what self reads and writes what other writes for what self writes."""
         made = Transducer((self.start, other.start))
         todo, seen = [made.start], {made.start}
+        taking: dict = defaultdict(list)
+        for b, arcs in other.arcs.items():
+            for taken, out, w, to in arcs:
+                taking[b, taken].append((out, w, to))
         while todo:
             a, b = state = todo.pop()
+            if a in self.open or b in other.open:
+                made.open.add(state)
             for symbol, middle, w1, to_a in self.arcs.get(a, ()):
-                for taken, out, w2, to_b in other.arcs.get(b, ()):
-                    if taken == middle:
-                        to = (to_a, to_b)
-                        made.arc(state, symbol, out, w1 + w2, to)
-                        if to not in seen:
-                            seen.add(to)
-                            todo.append(to)
+                for out, w2, to_b in taking.get((b, middle), ()):
+                    to = (to_a, to_b)
+                    made.arc(state, symbol, out, w1 + w2, to)
+                    if to not in seen:
+                        seen.add(to)
+                        todo.append(to)
         return made
 
     def compiled(self) -> Compiled:
@@ -42,12 +48,13 @@ class Transducer:
         for s, arcs in self.arcs.items():
             for symbol, _, w, to in arcs:
                 table[states[s]][symbol].append((w, states[to]))
-        return Compiled([dict(t) for t in table])
+        return Compiled([dict(t) for t in table], frozenset(states[s] for s in self.open if s in states))
 
 
 @dataclass
 class Compiled:
     table: list[dict]
+    open: frozenset = frozenset()
 
     def best(self, symbols) -> float:
         """Largest weight of a path that reads the symbols."""
@@ -59,4 +66,4 @@ class Compiled:
                     if (new := weight + w) > after.get(to, float("-inf")):
                         after[to] = new
             now = after
-        return max(now.values(), default=float("-inf"))
+        return max((w for state, w in now.items() if state not in self.open), default=float("-inf"))
