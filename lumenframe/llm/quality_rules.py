@@ -3,8 +3,9 @@
 The model is an interpolated modified Kneser-Ney model of five bytes, counted
 in Spark over all texts and kept in sorted hash arrays.  For each language the
 bands lie ``spread`` robust deviations on either side of the median log
-perplexity of all its texts; a text outside is rejected, as is one that the
-plain rules reject.
+perplexity of its texts of ``LEAST_BYTES`` or more, or of all its texts where
+fewer than half are so long; for a shorter text they are wider.  A text outside is
+rejected, as is one that the plain rules reject.
 
 Defined cases: a null or empty text has no words, fails the plain rules and has
 no perplexity; rows without a language share one pair of bands; repeated rows
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workspace import fresh_folder, materialise
@@ -29,7 +30,7 @@ from .textkernel import SPACE, U64, Words, buffers, gram_index, grams, mix64, sl
 ORDER, BITS = 5, 8
 #: Width of the bands below and above, in robust deviations, and their least half width in log10 per byte.
 SPREAD_LOW, SPREAD_HIGH, LEAST = 8.0, 4.0, 0.02
-#: A text shorter than this has too few bytes for its perplexity to tell.
+#: For a text shorter than this the bands are wider, as 1 / bytes: so grows the share of what its first bytes and its end cost.
 LEAST_BYTES = 200
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -126,19 +127,35 @@ def measure(docs: DataFrame, model: kn.KneserNey, doc_id: str = "doc_id", text:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def bands(measured: DataFrame, lang: str = "lang", low: float = SPREAD_LOW, high: float = SPREAD_HIGH, least: float = LEAST, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Per language: the lowest and highest log perplexity that is kept, from all its texts of enough bytes."""
-    told = measured.where(F.col("n_bytes") >= least_bytes).groupBy(F.col(lang).alias("band_lang")).agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"))
-    deviation = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(least / low))
-    return told.select("band_lang", (F.col("q")[1] - low * deviation).alias("lower_band"), (F.col("q")[1] + high * deviation).alias("upper_band"))
+def _share() -> Column:
+    """A text's bytes as a share of LEAST_BYTES, 1 at most."""
+    return F.greatest(F.least("n_bytes", F.lit(LEAST_BYTES)), F.lit(1)) / LEAST_BYTES
+
+
+def _quantiles(column: Column, *at: float) -> Column:
+    return F.percentile_approx(column, F.array(*map(F.lit, at)), 10000)
+
+
+def bands(measured: DataFrame, lang: str = "lang", low: float = SPREAD_LOW, high: float = SPREAD_HIGH, least: float = LEAST) -> DataFrame:
+    """measure()'s rows with the lowest and highest log perplexity that is kept; where short texts count for them, their deviations count by their share."""
+    own = F.col(lang).eqNullSafe(F.col("band_lang"))
+    by_lang = F.col(lang).alias("band_lang")
+    score, long = F.col("log_perplexity"), F.col("n_bytes") >= LEAST_BYTES
+    told = measured.groupBy(by_lang).agg(F.count_if(long).alias("n_long"), F.count(score).alias("n_all"), _quantiles(F.when(long, score), 0.5)[0].alias("of_long"), _quantiles(score, 0.5)[0].alias("of_all"))
+    most = 2 * F.col("n_long") >= F.col("n_all")
+    middle = told.select("band_lang", F.when(most, F.col("of_long")).otherwise(F.col("of_all")).alias("middle"), most.alias("most_long"))
+    centred = measured.join(middle, own, "left").drop("band_lang")
+    spread = centred.groupBy(by_lang).agg(_quantiles(F.when(long | ~F.col("most_long"), (score - F.col("middle")) * _share()), 0.25, 0.75).alias("q"))
+    width = F.greatest((F.col("q")[1] - F.col("q")[0]) / 1.349, F.lit(least / low)) / _share()
+    joined = centred.join(spread, own, "left")
+    return joined.withColumn("lower_band", F.col("middle") - low * width).withColumn("upper_band", F.col("middle") + high * width).drop("band_lang", "middle", "most_long", "q")
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per row: measure()'s columns, the bands of its language and ``kept``."""
+    """Per row: measure()'s columns, the bands of its language for its length and ``kept``."""
     measured = materialise(measure(docs, fit(docs, text, min(ranges_for(docs), 8)), doc_id, text, lang), "quality-measures")
-    inside = (F.col("n_bytes") < LEAST_BYTES) | F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band"))
-    joined = measured.join(bands(measured, lang), F.col(lang).eqNullSafe(F.col("band_lang")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("band_lang")
+    inside = F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band"))
+    return bands(measured, lang).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -63,6 +63,24 @@ def test_plain_rules_and_bands(docs):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_short_texts_get_a_verdict(spark):
+    import random
+
+    r = random.Random(7)
+    names = ["".join(r.choices("abcdefgh", k=5)) for _ in range(60)]
+    data = [(i, " ".join(r.choices(names, k=60 if i < 200 else 12))) for i in range(240)]
+    data += [(i, " ".join("".join(r.choices("QXZ0123456789%&", k=6)) for _ in range(12))) for i in (240, 241)]
+    got = {x["doc_id"]: x for x in quality_rules.query(documents(spark, [(3 * i, t) for i, t in data])).collect()}
+    sizes = {3 * i: len(t) for i, t in data}
+    out = {i for i, x in got.items() if not x["kept"] and not x["base_failed"]}
+    assert out >= {720, 723} and len(out) < 6 and sizes[720] < 200
+    width = {i: x["upper_band"] - x["lower_band"] for i, x in got.items()}
+    assert all(math.isclose(width[i], width[0] * max(1, 200 / sizes[i])) for i in got)
+    brief = {x["doc_id"]: x for x in quality_rules.query(documents(spark, [(3 * i, t) for i, t in data if i > 199])).collect()}
+    out = {i for i, x in brief.items() if not x["kept"] and not x["base_failed"]}
+    assert out >= {720, 723} and len(out) < 6
+
+
 def test_near_copies(docs):
     got = sorted(tuple(r) for r in jaccard_join.query(docs).collect())
     assert got == sorted(brute.jaccard_classes(rows()))
