@@ -1,19 +1,24 @@
 """Benchmark passages in documents, found by spaced seeds and verified word by word.
 
-Only DataFrame and SQL functions.  A seed is the hash of five words under a fixed
-mask that skips the words between; the same masks run over every document and
-every benchmark item, and equal hashes join.  The two masks together have a hit
-in any 16 aligned words of which at most three differ.  Around each hit the item
-is laid on the document and the aligned words are compared: a document holds an
-item if some ``SPAN`` aligned words in a row, or the whole item if it is
+Only DataFrame and SQL functions.  A seed is the hash of the words that a fixed
+mask keeps; it ignores the words between.  The same masks run over every
+document and every benchmark item, and equal hashes join.  Around each hit the
+item is laid on the document and the aligned words are compared: a document holds
+an item if some ``SPAN`` aligned words in a row, or the whole item if it is
 shorter, agree in at least four of five places.
 
-Words are the lower-cased runs outside white space.  An item shorter than a mask
-is sought by the contiguous mask of all its words, up to five.
+Items of ``LONG`` words or more have two masks of five words, which together
+have a hit in any 16 aligned words of which at most three differ, and in any 13 of
+which at most two do.  A shorter item of n words that may differ in k words is
+split into parts; each of its masks keeps all parts but k, so one of them hits
+whichever k words differ.  No passage within the rule is missed at any length.
 
-The seeds of the benchmark are broadcast only after a count shows that they are
-at most ``MOST_SEEDS``; beyond it the join is left to the planner, which then
-shuffles both sides.
+Words are the lower-cased runs outside white space.
+
+The benchmark is read in blocks of at most ``MOST_SEEDS`` seeds and ``MOST_BYTES``
+of words, each broadcast to one pass over the documents, so that no seed, however
+frequent, makes a hot task.  A block that exceeds a bound, which takes an item of
+that size, is joined as the planner sees fit.
 
 Defined cases: null, empty and wordless texts and items hold and are nothing;
 null ids stay null in the result; items or documents that repeat an id are laid
@@ -23,14 +28,27 @@ named columns are read.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: 1: the word counts; 0: it is skipped.
 MASKS = ("110001011", "1100100101")
-SHORT_MASKS = ("1", "11", "111", "1111", "11111")
-SPAN = 16
-MOST_SEEDS = 2_000_000
+SPAN, LONG = 16, 13
+MOST_SEEDS, MOST_BYTES = 2_000_000, 64 << 20
+
+
+def short_masks(n: int, agree: float = 0.8) -> tuple[str, ...]:
+    """Masks of n places of which one misses any k = n - ceil(agree n) of them: all but k of a split into k + 1 parts, or two more."""
+    k = n - math.ceil(agree * n - 1e-9)
+    if not k:
+        return ("1" * n,)
+    parts = min(n, k + 2)
+    part_of = [i * parts // n for i in range(n)]
+    return tuple("".join("0" if part_of[i] in out else "1" for i in range(n)) for out in combinations(range(parts), k))
 
 
 def _words(text: str) -> Column:
@@ -58,23 +76,30 @@ def _with_seeds(df: DataFrame, masks: dict[int, str]) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, agree: float = 0.8) -> DataFrame:
     """Per document and item that it holds: start (word where the item's first word lies, may be negative), n_equal aligned words, n_item words."""
     items = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("words"), F.xxhash64(item_id, item_text).alias("number")).where("size(words) > 0").dropDuplicates(["number"])
-    masks = dict(enumerate(MASKS, 1))
-    longest = max(map(len, MASKS))
-    seeds = _with_seeds(items, masks)
-    lengths = [r["n"] for r in items.where(F.size("words") < longest).select(F.least(F.size("words"), F.lit(5)).alias("n")).distinct().collect()]  # five numbers at most
-    short = {100 + n: SHORT_MASKS[n - 1] for n in sorted(lengths)}
-    for salt, mask in short.items():
-        own = items.where((F.size("words") < longest) & (F.least(F.size("words"), F.lit(5)) == len(mask)))
-        seeds = seeds.unionByName(_with_seeds(own, {salt: mask}).where("place = 0"))
-    masks |= short
-    seeds = seeds.select("seed", F.col("number").alias("item_number"), F.col("place").alias("item_place"))
-    items = items.select(F.col("number").alias("item_number"), "item_id", F.col("words").alias("item"))
-    if seeds.count() <= MOST_SEEDS:  # so both tables are bounded: an item has about as many words as seeds of one mask
-        seeds, items = F.broadcast(seeds), F.broadcast(items)
+    size = F.size("words")
+    told = items.agg(F.sum(size).alias("n"), F.sum(F.aggregate("words", F.lit(0), lambda s, w: s + F.octet_length(w) + 8)).alias("bytes"), F.collect_set(F.when(size < LONG, size)).alias("short")).first()
+    short = {100 * n + j: mask for n in sorted(told["short"]) for j, mask in enumerate(short_masks(n, agree))}  # of twelve lengths at most
+    blocks = max(1, -(-2 * (told["n"] or 0) // MOST_SEEDS), -(-(told["bytes"] or 0) // MOST_BYTES))
     # The row numbers keep the planner from moving later conditions below: it would split every text twice, and
     # put the comparison into the join, which would then copy a text's words for each of its seeds.
     texts = docs.select(F.col(doc_id).alias("doc_id"), _words(text).alias("words"), F.monotonically_increasing_id().alias("row"))
-    hits = _with_seeds(texts, masks).join(seeds, "seed").join(items, "item_number").withColumn("start", F.col("place") - F.col("item_place"))
+    found = [_held(texts, items.where(F.pmod("number", F.lit(blocks)) == k) if blocks > 1 else items, short, span, agree) for k in range(blocks)]
+    best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", (-F.col("start")).alias("back"), "n_item")).alias("m"))
+    return best.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias("item_id"), (-F.col("m.back")).cast("long").alias("start"), F.col("m.n_equal").cast("long").alias("n_equal"), F.col("m.n_item").cast("long").alias("n_item"))
+
+
+def _held(texts: DataFrame, items: DataFrame, short: dict[int, str], span: int, agree: float) -> DataFrame:
+    """The places where a document holds an item of one block."""
+    masks = dict(enumerate(MASKS, 1))
+    seeds = _with_seeds(items.where(F.size("words") >= LONG), masks)
+    for salt, mask in short.items():
+        seeds = seeds.unionByName(_with_seeds(items.where(F.size("words") == len(mask)), {salt: mask}))
+    seeds = seeds.select("seed", F.col("number").alias("item_number"), F.col("place").alias("item_place"))
+    words = items.select(F.col("number").alias("item_number"), "item_id", F.col("words").alias("item"))
+    size = items.agg(F.sum(F.size("words")).alias("n"), F.sum(F.aggregate("words", F.lit(0), lambda s, w: s + F.octet_length(w) + 8)).alias("bytes")).first()
+    if 2 * (size["n"] or 0) <= 2 * MOST_SEEDS and (size["bytes"] or 0) <= 2 * MOST_BYTES:  # blocks by a hash come out up to about twice the mean
+        seeds, words = F.broadcast(seeds), F.broadcast(words)
+    hits = _with_seeds(texts, masks | short).join(seeds, "seed").join(words, "item_number").withColumn("start", F.col("place") - F.col("item_place"))
     near = hits.select("doc_id", "item_id", "start", "item", "row", F.monotonically_increasing_id().alias("hit"), F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item")).alias("part"))
     laid = near.select("doc_id", "item_id", "start", "row", "hit", F.transform("item", lambda h, j: F.when((F.col("start") + j >= 0) & (F.get(F.col("part"), F.least(F.col("start"), F.lit(0)) + j) == h), 1).otherwise(0)).alias("equal"))
     width = F.least(F.size("equal"), F.lit(span))
@@ -83,30 +108,21 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     some = laid.withColumn("n_equal", F.aggregate("equal", F.lit(0), lambda s, e: s + e)).where((F.col("n_equal") >= least) & (F.col("row") >= 0) & (F.col("hit") >= 0))
     some = some.dropDuplicates(["row", "doc_id", "item_id", "start", "equal"]).withColumn("once", F.monotonically_increasing_id())
     runs = F.transform(F.sequence(F.lit(0), F.size("equal") - width), lambda j: F.aggregate(F.slice("equal", j + 1, width), F.lit(0), lambda s, e: s + e))
-    found = some.where((F.array_max(runs) >= least) & (F.col("once") >= 0)).select("doc_id", "item_id", "start", "n_equal", F.size("equal").alias("n_item"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", (-F.col("start")).alias("back"), "n_item")).alias("m"))
-    return best.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias("item_id"), (-F.col("m.back")).cast("long").alias("start"), F.col("m.n_equal").cast("long").alias("n_equal"), F.col("m.n_item").cast("long").alias("n_item"))
+    return some.where((F.array_max(runs) >= least) & (F.col("once") >= 0)).select("doc_id", "item_id", "start", "n_equal", F.size("equal").alias("n_item"))
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return find(docs, benchmark)
 
 
-def _sql_seeds(table: str, masks: dict[int, str], key: str) -> str:
-    parts = []
-    for salt, mask in masks.items():
-        words = " || ' ' || ".join(f"w[i + {k + 1}]" for k, c in enumerate(mask) if c == "1")
-        parts.append(f"SELECT {key}, i AS place, '{salt} ' || {words} AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {len(mask)} + 1)) AS i FROM {table})")
-    return " UNION ALL ".join(parts)
-
-
-#: The same seeds, spelled out, for items of at least ten words.
+#: The rule itself, without seeds: every place where the words of an item and a document agree often enough.
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
-ds AS ({_sql_seeds("d", dict(enumerate(MASKS, 1)), "doc_id")}),
-bs AS ({_sql_seeds("b", dict(enumerate(MASKS, 1)), "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.place - bs.place AS start FROM ds JOIN bs USING (seed)),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS place FROM d),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS place FROM b),
+hits AS (SELECT doc_id, item_id, dw.place - bw.place AS start FROM dw JOIN bw USING (word)
+  GROUP BY ALL HAVING count(*) >= ceil(0.8 * least(any_value(n), {SPAN}) - 1e-9)),
 laid AS (SELECT h.doc_id, h.item_id, h.start, [CASE WHEN h.start + j >= 0 AND d.w[h.start + j + 1] = b.w[j + 1] THEN 1 ELSE 0 END FOR j IN range(0, len(b.w))] AS e
   FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
 held AS (SELECT *, least(len(e), {SPAN}) AS n FROM laid),

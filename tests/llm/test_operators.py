@@ -174,8 +174,42 @@ def test_decontamination(spark):
 def test_masks_cover_three_differences():
     from itertools import combinations
 
-    places = [{s + k for k, c in enumerate(m) if c == "1"} for m in decontamination.MASKS for s in range(16 - len(m) + 1)]
-    assert all(any(not p & set(bad) for p in places) for bad in combinations(range(16), 3))
+    for n in (13, 14, 15, 16):
+        places = [{s + k for k, c in enumerate(m) if c == "1"} for m in decontamination.MASKS for s in range(n - len(m) + 1)]
+        assert all(any(not p & set(bad) for p in places) for bad in combinations(range(n), n - math.ceil(0.8 * n)))
+    for n in range(1, decontamination.LONG):
+        places = [{k for k, c in enumerate(m) if c == "1"} for m in decontamination.short_masks(n)]
+        assert all(any(not p & set(bad) for p in places) for bad in combinations(range(n), n - math.ceil(0.8 * n)))
+        assert all(len(m) == n and m.count("1") >= min(n, 3) for m in decontamination.short_masks(n))
+
+
+def test_decontamination_finds_every_allowed_change(spark):
+    from itertools import combinations
+
+    sizes = (1, 4, 5, 6, 8, 9, 10, 11, 12, 13)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in sizes]
+    data, want = [], set()
+    for n, text in items:
+        allowed = n - math.ceil(0.8 * n)
+        for bad in combinations(range(n), allowed):
+            w = ["other" if k in bad else x for k, x in enumerate(text.split())]
+            data.append((len(data), " ".join(["before", *w, "after"])))
+            want.add((len(data) - 1, n))
+        data.append((len(data), " ".join("other" if k <= allowed else x for k, x in enumerate(text.split()))))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find(documents(spark, data), benchmark).collect()} == want
+
+
+def test_decontamination_in_blocks_and_without_ids(spark, monkeypatch):
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(14))) for k in range(9)]
+    data = [(k if k % 2 else None, f"before {t} after") for k, t in items] + [(1, items[4][1]), (1, items[4][1])]
+    benchmark = spark.createDataFrame([*items, (None, "no id has this item either")], "item_id long, text string")
+    data.append((77, "no id has this item either"))
+    whole = sorted(map(str, decontamination.find(documents(spark, data), benchmark).collect()))
+    monkeypatch.setattr(decontamination, "MOST_SEEDS", 60)
+    assert sorted(map(str, decontamination.find(documents(spark, data), benchmark).collect())) == whole
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find(documents(spark, data), benchmark).collect()}
+    assert got == {(k if k % 2 else None, k) for k, _ in items} | {(1, 4), (77, None)}
 
 
 def test_sql_oracles(spark, oracle):
