@@ -18,9 +18,13 @@ classes is tested and no group is expanded into all its pairs.
 
 Defined cases: a null, empty or wordless text has no shingles, links with
 nothing and is its own class; a text of fewer words than a shingle is one
-shingle; a null id is in no class (null); rows that repeat an id are one node
-and each get a row; an empty table gives an empty result; only the named
-columns are read.
+shingle; a null id is in no class (null); rows that repeat an id are one node,
+linked by each of their texts, and each get one row with its own text's
+n_shingles; ids may be of any type that sorts; an empty table gives an empty
+result; only the named columns are read.
+
+Where an id stands for several sets, or is no number, the operator runs on 64-bit
+hashes of id and text, and the classes are then joined where they share an id.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ OTHER_ORDERS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 ROWS = 200_000
 #: Members of a group compared in one block.
 BLOCK = 4096
-#: Bits of the filter of wanted ids: 16 for each id, between these bounds (at most 16 MB).
+#: Bits of the filter of wanted ids: 16 for each id, between these bounds (at most 16 MB).  Beyond, more sets pass it than are joined.
 FILTER_BITS = (20, 27)
 
 
@@ -208,12 +212,18 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs()
 
 
+def _bit_of(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte of each id in a filter of so many bits, and its bit there."""
+    at = (mix64(ids.view(U64)) >> U64(64 - bits)).astype(np.int64)
+    return at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+
+
 def _filter_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << bits, dtype=bool)
+        flags = np.zeros(1 << (bits - 3), dtype=np.uint8)
         for batch in batches:
-            flags[(mix64(batch.column(0).to_numpy(zero_copy_only=False).view(U64)) >> U64(64 - bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_pydict({"flags": pa.array([zstandard.compress(np.packbits(flags).tobytes(), 1)], type=pa.binary())})
+            np.bitwise_or.at(flags, *_bit_of(batch.column(0).to_numpy(zero_copy_only=False), bits))
+        yield pa.RecordBatch.from_pydict({"flags": pa.array([zstandard.compress(flags.tobytes(), 1)], type=pa.binary())})
 
     return run
 
@@ -225,7 +235,8 @@ def _wanted_sets(width: int, flags: np.ndarray, bits: int):
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(flags[(mix64(ids.view(U64)) >> U64(64 - bits)).astype(np.int64)]))
+            byte, bit = _bit_of(ids, bits)
+            batch = batch.filter(pa.array((flags[byte] & bit) > 0))
             yield record_batch({"doc": batch.column(0), "tokens": [s.tobytes() for s in shingle_sets(batch.column(1), width)]}, schema)
 
     return run
@@ -276,9 +287,9 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int, classes: np.ndarray)
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted", ROWS)
     count = wanted.count()
     bits = min(max((16 * count).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    flags = np.zeros(1 << bits, dtype=bool)
-    for row in wanted.coalesce(16).mapInArrow(_filter_rows(bits), "flags binary").collect():  # at most 16 rows of at most 16 MB
-        flags |= np.unpackbits(np.frombuffer(zstandard.decompress(bytes(row["flags"])), dtype=np.uint8)).astype(bool)
+    flags = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for row in wanted.coalesce(16).mapInArrow(_filter_rows(bits), "flags binary").toLocalIterator():  # at most 16 rows of at most 16 MB, one at a time
+        flags |= np.frombuffer(zstandard.decompress(bytes(row["flags"])), dtype=np.uint8)
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc"))
     sets = texts.mapInArrow(_wanted_sets(width, flags, bits), "doc long, tokens binary").join(ends, "doc").select("a", "b", "doc", "tokens")
     parts = max(pairs.rdd.getNumPartitions(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -286,12 +297,37 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int, classes: np.ndarray)
     return materialise(met.mapInArrow(_verified(classes), "a long, b long"), "verified", ROWS)
 
 
+def _told(texts: DataFrame, width: int) -> DataFrame:
+    return materialise(texts.mapInArrow(_signatures(width), "doc_id long, n long, f1 long, f2 long, block int, counts binary"), "signatures", ROWS)
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        texts = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+        told = _told(texts, width)
+        sets = told.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "f1", "f2")).alias("low"), F.max(F.struct("n", "f1", "f2")).alias("high"))
+        if sets.where("low <> high").isEmpty():
+            return _classes_of(texts, told, width)
+    # Rows by a hash of id and text; classes that share an id are one.
+    keyed = rows.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("key"))
+    texts = keyed.select(F.col("key").alias("doc_id"), "text")
+    found = materialise(_classes_of(texts, _told(texts, width), width), "keyed-classes", ROWS)
+    by_key = found.where("doc_id is not null").select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct()
+    nodes = materialise(keyed.where("key is not null").select("doc_id", "key").distinct().join(by_key, "key"), "keyed-nodes", ROWS)
+    least = nodes.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    joined = connected(nodes.join(least, "component_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct())
+    known = nodes.select("key", "doc_id", "n_shingles").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    own = keyed.where("key is not null").select("doc_id", "key").join(known, "key").select("doc_id", "n_shingles", "component_id")
+    unnamed = found.where("doc_id is null").select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "n_shingles", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("component_id"))
+    return own.unionByName(unnamed)
+
+
+def _classes_of(texts: DataFrame, told: DataFrame, width: int) -> DataFrame:
+    """classes() of texts with whole-number ids that each have one set, and their signatures and bucket counts."""
+    spark = texts.sparkSession
     parts = max(texts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    told = materialise(texts.mapInArrow(_signatures(width), "doc_id long, n long, f1 long, f2 long, block int, counts binary"), "signatures", ROWS)
     signatures = told.where("block is null").select("doc_id", "n", "f1", "f2")
     table = np.zeros((BUCKET_BLOCKS, (1 << BUCKET_BITS) // BUCKET_BLOCKS), dtype=np.uint8)
     blocks = told.where("block is not null").select("block", "counts").repartition(BUCKET_BLOCKS, "block").mapInArrow(_classes, "block int, classes binary")

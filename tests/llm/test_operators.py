@@ -10,6 +10,7 @@ import pytest
 import regex
 import tiktoken
 from fixtures import documents, empty, rows
+from pyspark.sql import functions as F
 
 from lumenframe.llm import block_labeller, byte_bpe, decontamination, html_extraction, jaccard_join, license_scan, lm_scoring, quality_classifier, quality_rules, registry, substring_dedup, toxicity
 from lumenframe.llm.html_blocks import blocks
@@ -106,6 +107,17 @@ def test_rows_without_id(spark):
     assert found == {(None, None), (4, 4), (9, 4)}
 
 
+def test_near_copies_of_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    data = [(1, a), (2, b), (5, a), (5, b), (6, c), (6, c), (7, "one"), (7, None), (None, a), (8, c + " more")]
+    got = sorted(map(str, map(tuple, jaccard_join.classes(documents(spark, data).repartition(3)).collect())))
+    want = [(1, 36, 1), (2, 36, 1), (5, 36, 1), (5, 36, 1), (6, 36, 6), (6, 36, 6), (7, 1, 7), (7, 0, 7), (None, 36, None), (8, 37, 6)]
+    assert got == sorted(map(str, want))
+    named = documents(spark, data).withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    got = sorted(map(str, map(tuple, jaccard_join.classes(named).collect())))
+    assert got == sorted(str((d and f"id{d}", n, c and f"id{c}")) for d, n, c in want)
+
+
 def test_repeats(docs):
     want = sorted((d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in brute.repeats(rows()))
     assert sorted(tuple(r) for r in substring_dedup.query(docs).collect()) == want

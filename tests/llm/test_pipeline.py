@@ -15,9 +15,10 @@ def run_all(spark, docs, folder):
 
 
 def test_stages_equal_brute_force(spark, tmp_path):
-    data = rows()[:-1]
+    data = rows()
+    data[:] = [*data[:-1], (len(data), f"a text of its own {' '.join(f'o{k}' for k in range(40))}"), data[-1]]  # with the row that repeats
     item = " ".join(f"m{k}" for k in range(30))
-    data += [(len(data), f"{' '.join(brute.split(data[5][1]))} {item} end of it"), (len(data) + 1, f"clean text {' '.join(f'q{k}' for k in range(60))}")]
+    data += [(len(data) + 5, f"{' '.join(brute.split(data[5][1]))} {item} end of it"), (len(data) + 6, f"clean text {' '.join(f'q{k}' for k in range(60))}")]
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = documents(spark, data).cache()
 
@@ -26,7 +27,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     one = pipeline.filter_quality(spark, docs, str(tmp_path))
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(d for d, _ in kept) and one.columns == list(pipeline.COLUMNS)
 
-    kept = [(d, t) for (d, t), (_, _, c) in zip(kept, brute.jaccard_classes(kept), strict=True) if c == d]
+    kept = list(dict.fromkeys((d, t) for (d, t), (_, _, c) in zip(kept, brute.jaccard_classes(kept), strict=True) if c == d))
     two = pipeline.drop_near_copies(spark, one, str(tmp_path))
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(d for d, _ in kept)
 
@@ -36,7 +37,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
 
     kept = [(d, t) for d, t in kept if item not in (t or "")]
     four = pipeline.drop_benchmark(spark, three, str(tmp_path))
-    assert sorted(r["doc_id"] for r in four.collect()) == sorted(d for d, _ in kept) and len(data) - 1 in dict(kept)
+    assert sorted(r["doc_id"] for r in four.collect()) == sorted(d for d, _ in kept) and data[-1][0] in dict(kept)
 
     five = {r["doc_id"]: r for r in pipeline.encode(spark, four, str(tmp_path)).collect()}
     path = public_tokenizers.path(pipeline.VOCABULARY)
@@ -62,3 +63,11 @@ def test_one_row_of_copies_stays(spark, tmp_path):
     assert not {(None, mixed), (902, mixed)} & set(kept) and two.columns == list(pipeline.COLUMNS)
     three = [r["text"] for r in pipeline.cut_repeats(spark, two, str(tmp_path)).collect()]
     assert all(three.count(t) == 1 for t in (repeated, unnamed, mixed, other))
+
+
+def test_leaks_without_id_go(spark, tmp_path):
+    item = " ".join(f"m{k}" for k in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    data = [(None, f"so {item} it ends"), (3, f"and {item} too"), (3, "a clean text of the same id"), (None, "a clean text without an id"), (None, None)]
+    four = pipeline.drop_benchmark(spark, documents(spark, data), str(tmp_path))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in four.collect()))) == sorted(map(str, data[2:]))
