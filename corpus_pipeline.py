@@ -4,12 +4,11 @@ Each stage takes the documents that the one before it kept and returns
 documents, the last one their codes.  The stages work on whole texts; what one
 drops or cuts is gone for the next.
 
-Defined cases: an empty table stays empty through all stages; the first two
-stages know a row by a 64-bit hash of its columns, so rows without an id and rows
-that share an id are judged by their texts, and of rows alike one stays; a text
-without words is in no group of copies and stays; a stage that drops documents by
-id drops every row of that id; extra columns of the input are left behind by the
-first stage.
+Defined cases: an empty table stays empty through all stages; the stages that
+drop rows know one by a 64-bit hash of its columns, so rows without an id and rows
+that share an id are judged by their own texts, and of rows alike one stays; a
+text without words is in no group of copies and stays if the rules let it; extra
+columns of the input are left behind by the first stage.
 """
 
 from __future__ import annotations
@@ -53,8 +52,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    leaks = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
+    leaks = decontamination.find(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_key").select("row_key").distinct()
+    return keyed.join(leaks, "row_key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
