@@ -13,7 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ranges_for(df: DataFrame, least: int = 4, most: int = 4096) -> int:
-    """Number of key ranges for sums over a table: one per input split, so that a range stays of one size as the input grows."""
+    """Number of key ranges for sums over a table: one per input split, so that a range stays of one size as the input grows.
+
+    Each map task sends a row to each range, so there are at most ``most``; beyond it ranges grow with the distinct keys.
+    """
     return min(max(df.rdd.getNumPartitions(), least), most)
 
 

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import blobs
 from .sharedfs import map_array, write_array
@@ -32,6 +33,8 @@ SCHEMA = "shard int, kind string, keys binary, vals binary, stat string"
 _ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("vals", pa.binary()), ("stat", pa.string())])
 #: Keys that a map task holds before it sums and, if they stay, sends them.
 HELD_KEYS = 3_000_000
+#: Map tasks that send to one shard before groups of them are summed first.
+FAN = 4096
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -70,22 +73,60 @@ def counting(keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], kind: st
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list, list]]:
-    """(shard, kind) groups of a partition sorted by them; a group holds one range of keys."""
-    now, keys, vals, stats = None, [], [], []
+#: Columns of values: n-grams have a count, contexts the total and the numbers of counts 1, 2 and more.
+_COLUMNS = {"g": 1, "c": 4}
+
+
+class _Sums:
+    """Sums runs of sorted keys as they come: holds about three times the distinct keys, however many runs there are."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.least = 0, 1 << 16
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.runs.append((keys, values))
+        self.held += len(keys)
+        if self.held > 2 * self.least:
+            self.least = max(len(self.total()[0]), 1 << 16)
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.runs) > 1:
+            self.runs = [blobs.summed(np.concatenate([k for k, _ in self.runs]), np.concatenate([v for _, v in self.runs]))]
+        self.held = len(self.runs[0][0])
+        return self.runs[0]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray] | tuple[int, str, None, str]]:
+    """(shard, kind, sorted distinct keys, their summed values) of a partition sorted by the first two; statistics as they are."""
+    now, sums = None, _Sums()
     for batch in batches:
-        for shard, kind, k, v, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if s is not None:
-                yield -1, "stat", [], [s]
+        for shard, kind, k, v, s in zip(*batch.columns, strict=True):
+            if s.is_valid:
+                yield -1, "stat", None, s.as_py()
                 continue
-            if (shard, kind) != now:
+            if (key := (shard.as_py(), kind.as_py())) != now:
                 if now:
-                    yield *now, keys, vals
-                now, keys, vals = (shard, kind), [], []
-            keys.append(blobs.unpack_sorted(k))
-            vals.append(v)
+                    yield *now, *sums.total()
+                now, sums = key, _Sums()
+            sums.add(blobs.unpack_sorted(k.as_py()), blobs.unpack_values(v.as_py(), _COLUMNS[now[1][0]]))
     if now:
-        yield *now, keys, vals
+        yield *now, *sums.total()
+
+
+def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One packed row for each shard and kind of a partition sorted by them."""
+    for shard, kind, keys, values in _grouped(batches):
+        yield _rows([(shard, kind, blobs.pack_sorted(keys), blobs.pack_values(values), None)])
+
+
+def gathered(counts: DataFrame, shards: int) -> DataFrame:
+    """The packed counts themselves, or where more than ``FAN`` map tasks would send to each shard, sums of groups of tasks."""
+    groups = -(-counts.rdd.getNumPartitions() // FAN)
+    if groups < 2:
+        return counts
+    parted = counts.withColumn("part", F.spark_partition_id() % groups)
+    return parted.repartition(groups * shards, "shard", "part").sortWithinPartitions("shard", "kind").drop("part").mapInArrow(_merging, SCHEMA)
 
 
 def _inverse_mix(x: np.ndarray) -> np.ndarray:
@@ -101,14 +142,12 @@ def _inverse_mix(x: np.ndarray) -> np.ndarray:
 
 def _reducing(order: int, bits: int, shards: int, folder: str):
     """Reduce side for the n-grams of one order and the contexts of the order above."""
-    columns = {"g": 1, "c": 4}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, kind, keys, vals in _grouped(batches):
+        for shard, kind, keys, values in _grouped(batches):
             if kind == "stat":
-                yield _rows([(0, "stat", None, None, vals[0])])
+                yield _rows([(0, "stat", None, None, values)])
                 continue
-            keys, values = blobs.summed(np.concatenate(keys), np.concatenate([blobs.unpack_values(v, columns[kind[0]]) for v in vals]))
             write_array(f"{folder}/{kind}-{shard:05d}.key.npy", keys)
             write_array(f"{folder}/{kind}-{shard:05d}.val.npy", values)
             stat = {"kind": kind, "shard": shard, "n": len(keys), "sum": int(values[:, 0].sum())}
@@ -175,7 +214,7 @@ def _stats(df: DataFrame) -> list[dict]:
 
 def count_table(counts: DataFrame, shards: int, folder: str) -> tuple[SortedTable, int]:
     """Sums packed counts of one kind ('g1') into a sorted table; also the sum of all counts."""
-    stats = _stats(_exchange(counts, shards).mapInArrow(_reducing(1, 64, shards, folder), SCHEMA))
+    stats = _stats(_exchange(gathered(counts, shards), shards).mapInArrow(_reducing(1, 64, shards, folder), SCHEMA))
     return tables(stats, folder, shards).get("g1", SortedTable(folder, "g1", shards, {})), sum(s["sum"] for s in stats)
 
 
@@ -239,7 +278,7 @@ def fit(spark: SparkSession, counts: DataFrame, order: int, bits: int, shards: i
     """A model from packed counts of the highest order's keys (kind ``g{order}``), in one job."""
     if order * bits > 64:
         raise ValueError("an n-gram must fit 64 bits")
-    rows = counts
+    rows = gathered(counts, shards)
     for m in range(order, 0, -1):
         rows = _exchange(rows, shards).mapInArrow(_reducing(m, bits, shards, folder), SCHEMA)
     stats = _stats(rows)

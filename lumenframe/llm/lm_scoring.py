@@ -87,6 +87,8 @@ def fit(docs: DataFrame, text: str, train: Column) -> LanguageModel:
         for _, _, hashes, bounds in _tokens(batch.column(0)):
             yield _keys(_ids(vocabulary, hashes)[0], bounds)
 
+    if len(vocabulary) + FIRST_ID >= 1 << BITS:
+        raise ValueError(f"{len(vocabulary)} distinct words do not fit ids of {BITS} bits")
     pairs = texts.mapInArrow(kn.counting(bigrams, f"g{ORDER}", shards), kn.SCHEMA)
     return LanguageModel(vocabulary, total, kn.fit(spark, pairs, ORDER, BITS, shards, f"{folder}/ngrams", len(vocabulary)))
 
