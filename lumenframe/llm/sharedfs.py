@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import io
+import mmap
 import os
-import tempfile
 import uuid
 from functools import lru_cache
 from urllib.parse import urlparse
@@ -39,16 +39,28 @@ def write_array(uri: str, array: np.ndarray) -> None:
 
 
 @lru_cache(maxsize=4096)
-def map_array(uri: str) -> np.ndarray:
-    """The array, mapped into memory.  One from another store than a mounted folder is first copied to a nameless file."""
-    if (path := _local(uri)) is not None:
-        return np.load(path, mmap_mode="r")
+def _mapped(path: str) -> np.ndarray:
+    return np.load(path, mmap_mode="r")
+
+
+@lru_cache(maxsize=64)
+def _fetched(uri: str) -> np.ndarray:
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    with tempfile.NamedTemporaryFile() as copy:
-        with store.open_input_stream(path) as f:
-            while block := f.read(1 << 22):
-                copy.write(block)
-        copy.flush()
-        return np.load(copy.name, mmap_mode="r")
+    size = store.get_file_info(path).size
+    pages, at = mmap.mmap(-1, size), 0
+    with store.open_input_stream(path) as f:
+        while block := f.read(1 << 22):
+            pages[at : at + len(block)] = block
+            at += len(block)
+    pages.seek(0)
+    header = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(pages) == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, fortran, kind = header(pages)
+    return np.frombuffer(pages, dtype=kind, offset=pages.tell()).reshape(shape, order="F" if fortran else "C")
+
+
+def map_array(uri: str) -> np.ndarray:
+    """The array, mapped into memory; one from another store than a mounted folder is read into nameless pages, of which few are kept."""
+    path = _local(uri)
+    return _fetched(uri) if path is None else _mapped(path)
