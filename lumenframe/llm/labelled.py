@@ -17,8 +17,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     """(doc_id, text, label) of at most ``most`` labelled documents outside the held-out part, the same ones every time.
 
     Which ones is a hash of the id, so it depends on nothing else.  The chosen
-    ids, at most ``most`` numbers, are broadcast; no text is shuffled.
+    ids, at most ``most`` numbers, are broadcast; of the rows of one id the text that sorts first is taken.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

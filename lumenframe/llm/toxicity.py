@@ -217,7 +217,7 @@ class Model:
     scale: np.ndarray
 
     def features(self, w: Words) -> np.ndarray:
-        """Per text: sum and largest of its clauses' scores, clauses matched for each hundred words, distinct hits, words."""
+        """Per text: sum and largest of its clauses' scores, sum for each hundred words, clauses that match, words, whether any matches."""
         symbols = np.zeros(len(w.hash), dtype=np.uint8)
         fixed, kinds = _fixed()
         at, value = _looked_up(w.hash, fixed, kinds, _leading(fixed))
@@ -244,11 +244,9 @@ class Model:
         scores = np.array([clause_score(raw[a:b] if b - a <= 64 else _short(raw[a:b])) for a, b in zip(bounds[mine].tolist(), bounds[mine + 1].tolist(), strict=True)])
         total = np.bincount(text, weights=scores, minlength=n)
         np.maximum.at(out[:, 1], text, scores)
-        of = np.searchsorted(w.first, hits, side="right") - 1
-        pairs = np.unique(mix64(w.hash[hits] + of.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)[1]
         out[:, 0] = np.log1p(total)
         out[:, 2] = np.log1p(100 * total / np.maximum(w.counts, 1))
-        out[:, 3] = np.log1p(np.bincount(of[pairs], minlength=n))
+        out[:, 3] = np.log1p(np.bincount(text[scores > 0], minlength=n))
         out[:, 5] = total > 0
         return out
 
