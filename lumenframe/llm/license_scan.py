@@ -3,8 +3,11 @@
 Fuzzy notices are sought on the text's small letters and digits, words joined by
 one space.  A notice that may differ in k edits is split into k + 1 pieces; at
 least one of them stands unchanged in any occurrence, so one automaton over all
-pieces finds every candidate.  Around each candidate the regex library's
-bounded-error matching verifies the edits and gives the span.
+pieces finds every candidate.  The few letters around each candidate are searched
+by the regex library's bounded-error matching, which verifies the edits and gives
+the best span there; candidates go from left to right, and one notice's spans do
+not overlap.  Equal surroundings are searched once, so a text's time grows with its
+length.
 
 Score: 1 where a base phrase stands; else the highest share of a notice's
 letters that its best match leaves unchanged; 0 without any match.
@@ -73,33 +76,28 @@ def _machine(notices: tuple) -> tuple[ahocorasick.Automaton, list[regex.Pattern]
     return automaton, [regex.compile(f"(?b)(?:{regex.escape(n, special_only=True, literal_spaces=True)}){{e<={e}}}") for n, _, e in notices]
 
 
+@lru_cache(maxsize=20000)
+def _best(pattern: regex.Pattern, part: str) -> tuple[int, int, int] | None:
+    """(start, end, edits) of the best match in a few letters."""
+    m = pattern.search(part)
+    return m and (m.start(), m.end(), sum(m.fuzzy_counts))
+
+
 def notices_in(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, int, int]]:
-    """(notice, start, end, edits) of the matches in a normalised text; of overlapping ones of a notice the first found."""
+    """(notice, start, end, edits) of the matches in a normalised text; of overlapping ones of a notice the one whose candidate comes first."""
     automaton, patterns = _machine(notices)
-    near: dict[int, list[tuple[int, int]]] = {}
+    near: dict[int, set[int]] = {}
     for end, (size, uses) in automaton.iter(text):
         for k, at in uses:
-            start, edits = end - size + 1 - at, notices[k][2]
-            low, high = max(0, start - edits), min(len(text), start + len(notices[k][0]) + edits)
-            spans = near.setdefault(k, [])
-            if spans and low <= spans[-1][1] and low >= spans[-1][0]:
-                if high > spans[-1][1]:
-                    spans[-1] = (spans[-1][0], high)
-            else:
-                spans.append((low, high))
+            near.setdefault(k, set()).add(end - size + 1 - at)
     found = []
-    for k, spans in near.items():
-        merged: list[tuple[int, int]] = []
-        for low, high in sorted(spans):
-            if merged and low <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-            else:
-                merged.append((low, high))
-        for low, high in merged:
-            at = low
-            while (m := patterns[k].search(text, at, high)) is not None:
-                found.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                at = max(m.end(), at + 1)
+    for k, starts in near.items():
+        size, edits, free = len(notices[k][0]), notices[k][2], 0
+        for start in sorted(starts):
+            low, high = max(free, start - edits), min(len(text), start + size + edits)
+            if high - low >= size - edits and (m := _best(patterns[k], text[low:high])) is not None:
+                found.append((k, low + m[0], low + m[1], m[2]))
+                free = low + max(m[1], 1)
     return sorted(found, key=lambda f: (f[1], f[0]))
 
 
