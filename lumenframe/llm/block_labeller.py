@@ -1,7 +1,7 @@
 """A bidirectional LSTM in numpy that labels the blocks of a page as main text or not.
 
 A block is read as the sum of hashed embeddings of its tag path, the mean of
-hashed embeddings of its words, and a few numbers.  Both directions run over the
+hashed embeddings of its words, and a few numbers; what training never met weighs nothing.  Both directions run over the
 whole page, so each label uses the whole document.
 """
 
@@ -12,12 +12,12 @@ from functools import lru_cache
 import numpy as np
 
 from .html_blocks import Block
-from .page_samples import Sampler
+from .page_samples import FAMILIES, Sampler
 from .textkernel import NOT_ALNUM, U64, split, word_hash
 
-PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 1024, 4096, 20, 8, 7, 20
+PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 8192, 32768, 20, 8, 7, 20
 #: How the labeller is trained: invented pages, passes, pages a step, seed.
-TRAINING = (4000, 6, 32, 20240601)
+TRAINING = (6000, 6, 32, 20240601)
 
 
 @lru_cache(maxsize=20000)
@@ -59,7 +59,7 @@ class Labeller:
     def __init__(self, seed: int):
         r = np.random.default_rng(seed)
         d = PATH_DIM + WORD_DIM + NUMBERS
-        self.p = {"path": r.normal(0, 0.3, (PATH_BUCKETS, PATH_DIM)), "word": np.zeros((WORD_BUCKETS, WORD_DIM)), "out": r.normal(0, 0.3, (2 * HIDDEN, 1)), "bias": np.zeros(1)}
+        self.p = {"path": np.zeros((PATH_BUCKETS, PATH_DIM)), "word": np.zeros((WORD_BUCKETS, WORD_DIM)), "out": r.normal(0, 0.3, (2 * HIDDEN, 1)), "bias": np.zeros(1)}
         for side in "fb":
             self.p |= {f"W{side}": r.normal(0, 0.25, (d, 4 * HIDDEN)), f"U{side}": r.normal(0, 0.25, (HIDDEN, 4 * HIDDEN)), f"c{side}": np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
@@ -153,11 +153,11 @@ class Labeller:
 
 
 @lru_cache(maxsize=2)
-def trained(training: tuple = TRAINING) -> Labeller:
-    """A labeller fitted to invented pages by Adam; the same seed gives the same weights."""
+def trained(training: tuple = TRAINING, families: tuple[str, ...] = ("named", "named", *FAMILIES)) -> Labeller:
+    """A labeller fitted to invented pages of some layouts by Adam; the same seed gives the same weights."""
     pages, passes, step, seed = training
-    sampler = Sampler(seed)
-    data = [d for d in (sampler.labelled() for _ in range(pages)) if d[0]]
+    sampler = Sampler(seed, families)
+    data = [(sampler.blurred(b), y) for b, y in (sampler.labelled() for _ in range(pages)) if b]
     model, t = Labeller(seed), 0
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -177,8 +177,9 @@ def trained(training: tuple = TRAINING) -> Labeller:
     return model
 
 
-def held_out_accuracy(model: Labeller, pages: int = 300, seed: int = 99) -> float:
-    sampler = Sampler(seed)
+def held_out_accuracy(model: Labeller, pages: int = 300, seed: int = 99, families: tuple[str, ...] = FAMILIES) -> float:
+    """Share of the blocks of other invented pages, of these layouts, that get the right label."""
+    sampler = Sampler(seed, families)
     data = [sampler.labelled() for _ in range(pages)]
     p = np.concatenate(model.probabilities([b for b, _ in data]))
     return float(((p >= 0.5) == np.concatenate([y for _, y in data])).mean())

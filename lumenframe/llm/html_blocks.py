@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: Comments, declarations and tags.  A quoted value may hold >; a quote that never closes does not swallow the page.
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
+#: What is markup where no > follows.
+_UNCLOSED = re.compile(r"<!--.*()()()()()()", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: A block's path tells of its innermost elements, at most so many.
+DEEPEST = 64
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements within a line of text: they end no block.
@@ -42,7 +47,6 @@ def blocks(page: str) -> list[Block]:
     """The blocks of text in page order, references decoded, white space as one space; empty ones are left out."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
     parts: list[str] = []
     links, in_link = 0, 0
 
@@ -52,18 +56,22 @@ def blocks(page: str) -> list[Block]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(path, text, links))
+                out.append(Block(tuple(n for tag, names in stack[-DEEPEST:] if tag not in INLINE for n in names), text, links))
             parts.clear()
         links = 0
 
-    def settle() -> None:
-        nonlocal path, in_link
-        path = tuple(n for tag, names in stack if tag not in INLINE for n in names)
-        in_link = sum(tag == "a" for tag, _ in stack)
+    def drop(k: int) -> None:
+        nonlocal in_link
+        in_link -= sum(tag == "a" for tag, _ in stack[k:])
+        for tag, _ in stack[k:]:
+            counts[tag] -= 1
+        del stack[k:]
 
-    at, end = 0, len(page)
+    counts: Counter = Counter()
+
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
-        m = _MARKUP.search(page, at)
+        m = _MARKUP.search(page, at) if at <= last else _UNCLOSED.search(page, at)
         to = m.start() if m else end
         if to > at:
             parts.append(page[at:to])
@@ -79,12 +87,13 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:
             if tag not in INLINE:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in INLINE or all(t in INLINE for t, _ in stack[k:]):
-                        del stack[k:]
-                    break
-            settle()
+            if counts[tag]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if tag in INLINE and stack[k][0] not in INLINE:
+                        break
+                    if stack[k][0] == tag:
+                        drop(k)
+                        break
             continue
         attributes = m[3] if m[2] else m[6]
         if tag in RAW:
@@ -100,14 +109,15 @@ def blocks(page: str) -> list[Block]:
             ends = CLOSES.get(tag, ())
             if tag in _ENDS_P:
                 ends = (*ends, "p")
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(counts[t] for t in ends) else ():
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    drop(k)
                     break
                 if stack[k][0] in _SCOPE and stack[k][0] not in ends:
                     break
         if tag not in VOID and not attributes.endswith("/"):
             stack.append((tag, _names(tag, attributes)))
-        settle()
+            counts[tag] += 1
+            in_link += tag == "a"
     close()
     return out
