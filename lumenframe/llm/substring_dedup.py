@@ -42,15 +42,18 @@ from .textkernel import U64, Words, buffers, gram_index, grams, signed, slices,
 
 WINDOW, PHRASE = 35, 5
 SHARD_BYTES = 8 << 20
+#: Bytes of phrases that a map task holds before it sends them.
+HELD_BYTES = 128 << 20
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 _TO_BLANK = bytes(0x20 if k in (*range(9, 14), 32) else k for k in range(256))
 
 
 def shards_for(docs: DataFrame) -> int:
-    """Shards by the stored size of the table where it is known, else by its splits."""
+    """Shards by the planned size of the table, but no more than its splits can hold: the planner's size of a join is often far too large."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = docs.rdd.getNumPartitions()
-    return min(max(4, parts, -(-size // SHARD_BYTES) if size < 1 << 55 else parts), 1 << 20)
+    split = int(docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(4, parts, min(-(-size // SHARD_BYTES), parts * max(1, split // SHARD_BYTES)))
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -105,8 +108,11 @@ ONCE, RECURS, SEND = 0, 1, 2
 
 def _anchor_rows(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, shards, phrases = [], [], []
+        keys, shards, phrases, held = [], [], [], 0
         for batch in batches:
+            if held > HELD_BYTES:
+                yield from told(keys, shards, phrases)
+                keys, shards, phrases, held = [], [], [], 0
             own = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, w in _words(batch.column(1)):
                 at = Anchors(w, window, phrase).places()
@@ -118,8 +124,11 @@ def _anchor_rows(window: int, phrase: int):
                 keys.append(gram)
                 shards.append(shard.astype(np.int32))
                 phrases += [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        if not keys:
-            return
+                held += int((end - start).sum()) + 64 * len(at)
+        if keys:
+            yield from told(keys, shards, phrases)
+
+    def told(keys: list[np.ndarray], shards: list[np.ndarray], phrases: list[bytes]) -> Iterator[pa.RecordBatch]:
         key, shard = np.concatenate(keys), np.concatenate(shards)
         order = np.lexsort((shard, key))
         key, shard = key[order], shard[order]
