@@ -44,12 +44,14 @@ from .textkernel import _LETTERS, _ODD, U64, _power_tables, buffers, mix64, slic
 WORDS_AT_ONCE, BYTES_AT_ONCE = 20_000, 250_000
 #: Bytes of text whose words are looked up together: the more, the fewer words are met again.
 SLICE = 4 << 20
+#: Bytes of distinct words that a map task holds before it sends them.
+HELD_BYTES = 128 << 20
 
 STEPS = """
-WITH RECURSIVE step(it, w, p, t) AS (
-  SELECT 0, w, p, t FROM tokens
-  UNION ALL
-  SELECT it + 1, w, p, CASE WHEN contracts THEN lowest ELSE t END
+WITH RECURSIVE step(w, p, t) USING KEY (w, p) AS (
+  SELECT w, p, t FROM tokens
+  UNION
+  SELECT w, p, CASE WHEN gone THEN -1 ELSE lowest END AS t
   FROM (
     SELECT *, lag(contracts, 1, false) OVER (PARTITION BY w ORDER BY p) AS gone
     FROM (
@@ -59,17 +61,16 @@ WITH RECURSIVE step(it, w, p, t) AS (
         FROM (
           SELECT *, coalesce(rank = lowest, false) AS hit
           FROM (
-            SELECT a.it, a.w, a.p, a.t, a.n, m.rank, m.risky, min(m.rank) OVER (PARTITION BY a.w) AS lowest
-            FROM (SELECT it, w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS next, row_number() OVER (PARTITION BY w ORDER BY p) AS n FROM step) a
+            SELECT a.w, a.p, a.t, a.n, m.rank, m.risky, min(m.rank) OVER (PARTITION BY a.w) AS lowest
+            FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS next, row_number() OVER (PARTITION BY w ORDER BY p) AS n FROM recurring.step WHERE t >= 0 AND w IN (SELECT w FROM step)) a
             LEFT JOIN merges m ON m.l = a.t AND m.r = a.next
           ) WHERE lowest IS NOT NULL
         )
       )
     )
-  ) WHERE NOT gone
-),
-done AS (SELECT w, max(it) AS it FROM step GROUP BY w)
-SELECT s.w, s.p, s.t FROM step s JOIN done USING (w, it)
+  ) WHERE contracts OR gone
+)
+SELECT w, p, t FROM step WHERE t >= 0
 """
 
 DECODE = """
@@ -104,7 +105,7 @@ _engines: dict[str, duckdb.DuckDBPyConnection] = {}
 def _engine(path: str) -> duckdb.DuckDBPyConnection:
     if path in _engines:
         return _engines[path]
-    db = _engines[path] = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+    db = _engines[path] = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
     merges, vocabulary = _merges(path)
     db.register("given_merges", merges)
     db.register("given_vocabulary", vocabulary)
@@ -165,10 +166,23 @@ _WORDS = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("sizes", pa.b
 def _distinct_words(shards: int):
     """Map side: each distinct word of a task once, packed by ranges of its hash."""
 
+    def packed(keys: list[np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        key = key[order]
+        words = [words[i] for i in order.tolist()]
+        at = blobs.cut(key, shards).tolist()
+        for k in range(shards):
+            if part := words[at[k] : at[k + 1]]:
+                yield record_batch({"shard": [k], "keys": [blobs.pack_sorted(key[at[k] : at[k + 1]])], "sizes": [blobs.pack_values(np.array([len(w) for w in part], dtype=U64)[:, None])], "bytes": [zstandard.compress(b"".join(part), 1)]}, _WORDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, words = [], []
+        keys, words, held = [], [], 0
         seen = np.zeros(0, dtype=U64)
         for batch in batches:
+            if held > HELD_BYTES:
+                yield from packed(keys, words)
+                keys, words, held, seen = [], [], 0, np.zeros(0, dtype=U64)
             for _, _, p, h in _pieces(batch.column(0)):
                 own, one = np.unique(h, return_index=True)
                 fresh = ~np.isin(own, seen, assume_unique=True, kind="sort")
@@ -177,16 +191,9 @@ def _distinct_words(shards: int):
                 words += [raw[s:e] for s, e in zip(p.start[one].tolist(), p.end[one].tolist(), strict=True)]
                 keys.append(own)
                 seen = np.union1d(seen, own)
-        if not keys:
-            return
-        key = np.concatenate(keys)
-        order = np.argsort(key)
-        key = key[order]
-        words = [words[i] for i in order.tolist()]
-        at = blobs.cut(key, shards).tolist()
-        for k in range(shards):
-            if part := words[at[k] : at[k + 1]]:
-                yield record_batch({"shard": [k], "keys": [blobs.pack_sorted(key[at[k] : at[k + 1]])], "sizes": [blobs.pack_values(np.array([len(w) for w in part], dtype=U64)[:, None])], "bytes": [zstandard.compress(b"".join(part), 1)]}, _WORDS)
+                held += int((p.end[one] - p.start[one]).sum()) + 64 * len(own)
+        if keys:
+            yield from packed(keys, words)
 
     return run
 
