@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -99,3 +100,80 @@ def kneser_ney_bigrams(train, vocabulary):
         return step(pairs.get((before, word), 0), after.get(before, []), d2, p1)
 
     return p
+
+
+def kneser_ney(texts, order, vocabulary):
+    """P(w | the order - 1 before) of an interpolated modified Kneser-Ney model of padded sequences, as a function of an n-gram."""
+    grams = {order: Counter(tuple(t[i : i + order]) for t in texts for i in range(len(t) - order + 1))}
+    for m in range(order - 1, 0, -1):
+        grams[m] = Counter(g[1:] for g in grams[m + 1])
+    after = {m: {} for m in grams}
+    for m in grams:
+        for g, c in grams[m].items():
+            after[m].setdefault(g[:-1], []).append(c)
+    discounts = {}
+    for m in grams:
+        n = [sum(c == k for c in grams[m].values()) for k in (1, 2, 3, 4)]
+        if not n[0] or not n[1]:
+            discounts[m] = [0.0, 0.5, 0.75, 1.0]
+            continue
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1] if n[2] else 1.0, 3 - 4 * y * n[3] / n[2] if n[2] and n[3] else 1.5]
+        discounts[m] = [0.0] + [min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1)]
+
+    def p(gram):
+        value = 1 / (vocabulary + 1)
+        for m in range(1, order + 1):
+            g, d = gram[-m:], discounts[m]
+            counts = after[m].get(g[:-1], [])
+            if counts:
+                c = grams[m].get(g, 0)
+                value = max(c - d[min(c, 3)], 0) / sum(counts) + sum(d[min(x, 3)] for x in counts) / sum(counts) * value
+        return value
+
+    return p
+
+
+def byte_perplexities(rows, order=5):
+    """log10 perplexity per byte and end of each text under the model of all of them; None without bytes."""
+    padded = [[0] * (order - 1) + list((t or "").encode()) + [255] for _, t in rows]
+    p = kneser_ney(padded, order, 256)
+    out = []
+    for t in padded:
+        n = len(t) - order + 1
+        out.append(-sum(math.log10(p(tuple(t[i : i + order]))) for i in range(n)) / n if n > 1 else None)
+    return out
+
+
+def percentile(values, q):
+    """The smallest value with at least a share q at or below it."""
+    values = sorted(values)
+    return values[max(0, math.ceil(q * len(values)) - 1)]
+
+
+def quality_bands(measured, low=8.0, high=4.0, least=0.02, full=200):
+    """(lowest, highest log perplexity) for each (language, bytes, log perplexity)."""
+    out = []
+    for lang, size, _ in measured:
+        own = [(n, s) for g, n, s in measured if g == lang]
+        scored, long = [s for _, s in own if s is not None], [s for n, s in own if n >= full]
+        most = 2 * len(long) >= len(scored)
+        if not scored:
+            out.append((None, None))
+            continue
+        middle = percentile(long if most else scored, 0.5)
+        off = [(s - middle) * min(max(n, 1), full) / full for n, s in own if s is not None and (n >= full or not most)]
+        width = max((percentile(off, 0.75) - percentile(off, 0.25)) / 1.349, least / low) / (min(max(size, 1), full) / full)
+        out.append((middle - low * width, middle + high * width))
+    return out
+
+
+BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def base_licences(t):
+    """(words, places, first, last, labels) of the base phrases."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    at = [(i, label) for phrase, label in BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    places = [i for i, _ in at]
+    return len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))

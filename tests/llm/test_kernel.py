@@ -61,3 +61,14 @@ def test_composition():
     b.arc(0, "y", "-", 10.0, 0)
     b.arc(0, "z", "-", 100.0, 0)
     assert a.compose(b).compiled().best(["x", "x", "x"]) == 1 + 2 + 1 + 10 + 100 + 10
+
+
+def test_fetched_arrays(tmp_path, monkeypatch):
+    from lumenframe.llm import sharedfs
+
+    for k, array in enumerate((np.arange(7), np.zeros(0, np.uint8), np.arange(20000, dtype=np.uint64).reshape(-1, 4))):
+        uri = f"file://{tmp_path}/a{k}.npy"
+        sharedfs.write_array(uri, array)
+        assert (sharedfs.map_array(uri) == array).all()
+        got = sharedfs._fetched(uri)
+        assert got.shape == array.shape and got.dtype == array.dtype and (got == array).all()
