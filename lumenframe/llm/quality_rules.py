@@ -32,6 +32,8 @@ ORDER, BITS = 5, 8
 SPREAD_LOW, SPREAD_HIGH, LEAST = 8.0, 4.0, 0.02
 #: For a text shorter than this the bands are wider, as 1 / bytes: so grows the share of what its first bytes and its end cost.
 LEAST_BYTES = 200
+#: Ranges of the model's keys, at most; a range is then summed in bounded memory, from groups of map tasks.
+MOST_RANGES = 512
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -64,7 +66,7 @@ def _byte_slices(column: pa.Array, most: int = 1 << 20):
 
 
 def fit(docs: DataFrame, text: str = "text", shards: int = 8) -> kn.KneserNey:
-    """The byte model of all texts; the number of distinct five-byte runs, not of texts, bounds its size."""
+    """The byte model of all texts, in ``shards`` ranges of keys; the number of distinct five-byte runs bounds its size."""
     folder = fresh_folder(docs.sparkSession, "byte-model")
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -153,7 +155,7 @@ def bands(measured: DataFrame, lang: str = "lang", low: float = SPREAD_LOW, high
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: measure()'s columns, the bands of its language for its length and ``kept``."""
-    measured = materialise(measure(docs, fit(docs, text, min(ranges_for(docs), 8)), doc_id, text, lang), "quality-measures")
+    measured = materialise(measure(docs, fit(docs, text, ranges_for(docs, most=MOST_RANGES)), doc_id, text, lang), "quality-measures")
     inside = F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band"))
     return bands(measured, lang).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
