@@ -188,10 +188,10 @@ def component_support_amp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flux_reference(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    return rounded(A.flux_reference(cube(spark, d), mode), flux_ref=6)
+    return rounded(A.flux_reference(cube(spark, d), mode), flux_ref=10)  # a flux has up to nine digits of its own: no value lies halfway
 
 
-_FLUX = ", f AS (SELECT c, p, s, sum(m) AS f FROM cube GROUP BY c, p, s) SELECT c, p, round(greatest({}(f), 1e-12), 6) AS flux_ref FROM f GROUP BY c, p"
+_FLUX = ", f AS (SELECT c, p, s, sum(m) AS f FROM cube GROUP BY c, p, s) SELECT c, p, round(greatest({}(f), 1e-12), 10) AS flux_ref FROM f GROUP BY c, p"
 
 
 @query(sql("cube", _FLUX.format("avg")))
@@ -586,3 +586,8 @@ def solution_digest(spark: SparkSession, d: str) -> DataFrame:
 def dense_spectra(spark: SparkSession, d: str) -> DataFrame:
     dense = to_dense(spectra(spark, d).withColumnRenamed("flux", "value"), ["s"])
     return rounded(dense.select("s", F.size("flux").cast("long").alias("n"), F.aggregate("flux", F.lit(0.0), lambda a, v: a + v).alias("total")), total=6)
+
+
+# --- column scales, triage, maps and cuts register themselves
+
+from . import catalog_columns  # noqa: E402, F401

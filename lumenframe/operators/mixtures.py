@@ -26,6 +26,15 @@ def convert_factor(amplitude_totals: DataFrame, flux: DataFrame, to: str) -> Dat
     return joined.select("s", F.when((f > 0) & (f < float("inf")), f).otherwise(1.0).alias("factor"))
 
 
+def convert_models(models: DataFrame, factors: DataFrame) -> DataFrame:
+    """Models, long (m) or dense (m array), times the factor of their aperture; an aperture without one is left as it is."""
+    f = F.coalesce("factor", F.lit(1.0))
+    dense = models.schema["m"].dataType.typeName() == "array"
+    value = F.transform("m", lambda v: v * f) if dense else F.col("m") * f
+    kind = models.schema["m"].dataType
+    return models.join(factors.select("s", "factor"), "s", "left").withColumn("m", value.cast(kind)).select(*models.columns)
+
+
 def unit_sum(df: DataFrame, value: str, by: list[str] | None = None, name: str = "unit") -> DataFrame:
     return with_share(df, value, by or [], name)
 

@@ -39,11 +39,56 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, tile_size: int = 128):
         self.spark, self.path, self.tile_size = spark, path.rstrip("/"), tile_size
 
+    def _restore(self, name: str) -> None:
+        """Puts back a table whose rewrite was cut off between its two renames."""
+        jvm = self.spark.sparkContext._jvm
+        here, kept = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}{s}") for s in ("", ".old"))
+        fs = here.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(here) and fs.exists(kept):
+            fs.rename(kept, here)
+
     def _exists(self, name: str) -> bool:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+    def present(self) -> bool:
+        """Whether there is a store at this path: one with metadata."""
+        return self._exists("metadata")
+
+    def invalidate(self, tiles: Sequence[int] | None = None) -> None:
+        """Takes tiles, or all, out of the build log, so that the next build makes them anew."""
+        jvm = self.spark.sparkContext._jvm
+        done = [r["tile"] for r in self.table("build_log").select("tile").distinct().collect()]  # thousands at most
+        for tile in done if tiles is None else set(done) & set(tiles):
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/build_log/tile={tile}")
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.set_metadata(complete=False)
+
+    def dims(self) -> dict[str, int]:
+        """Sizes of the axes: from the metadata, else counted."""
+        meta, pops = self.metadata(), None
+        if "pop_shape" in meta:
+            pops = int(np.prod(meta["pop_shape"]))
+        return {
+            "s": int(meta["n_s"]) if "n_s" in meta else self.table("spectra").count(),
+            "l": int(meta["n_l"]) if "n_l" in meta else len(self.axis("observed")),
+            "c": int(meta["n_c"]) if "n_c" in meta else self.table("losvd").select("c").distinct().count(),
+            "p": pops if pops is not None else self.table("templates").count(),
+        }
+
+    def template(self, p: int) -> DataFrame:
+        return self.table("templates").where(F.col("p") == p)
+
+    def histogram(self, s: int, c: int) -> DataFrame:
+        return self.table("losvd").where((F.col("s") == s) & (F.col("c") == c))
+
+    def basis(self, s: int, c: int) -> DataFrame:
+        """One component's models of one aperture."""
+        return self.plane(s).where(F.col("c") == c)
+
     def table(self, name: str) -> DataFrame:
+        if not self._exists(name):
+            self._restore(name)
         if not self._exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
@@ -57,7 +102,11 @@ class Store:
         out.parquet(f"{self.path}/{name}")
 
     def rewrite(self, name: str, codec: str, files: int) -> None:
-        """Re-encodes a table beside itself and swaps the folders, so that a failure leaves the old one."""
+        """Re-encodes a table beside itself and swaps the folders.
+
+        A failure leaves the old table under its name, or beside it as ``.old`` with the new one under the name missing:
+        opening the store then puts it back.
+        """
         self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}").repartition(files).write.mode("overwrite").option("compression", codec).parquet(f"{self.path}/{name}.new")
         jvm = self.spark.sparkContext._jvm
         old, new, kept = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}{s}") for s in ("", ".new", ".old"))
