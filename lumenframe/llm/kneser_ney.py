@@ -126,7 +126,7 @@ def gathered(counts: DataFrame, shards: int) -> DataFrame:
     if groups < 2:
         return counts
     parted = counts.withColumn("part", F.spark_partition_id() % groups)
-    return parted.repartition(groups * shards, "shard", "part").sortWithinPartitions("shard", "kind").drop("part").mapInArrow(_merging, SCHEMA)
+    return parted.repartitionById(groups * shards, F.col("shard") * groups + F.col("part")).sortWithinPartitions("shard", "kind").drop("part").mapInArrow(_merging, SCHEMA)
 
 
 def _inverse_mix(x: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ def tables(stats: list[dict], folder: str, shards: int) -> dict[str, SortedTable
 
 
 def _exchange(df: DataFrame, shards: int) -> DataFrame:
-    return df.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    return df.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
 
 
 def _stats(df: DataFrame) -> list[dict]:
