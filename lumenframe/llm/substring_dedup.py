@@ -377,12 +377,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     anchors = rows.select("shard", "text").mapInArrow(_anchor_rows(window, phrase), "route long, anchor long, shard int, tells byte, phrase binary")
     phrases = anchors.repartition(shards, "route").sortWithinPartitions("route", "anchor").mapInArrow(_recurring, "shard int, phrase binary")
     streams = rows.selectExpr("shard", "1 AS kind", "doc_id", "text", "CAST(NULL AS BINARY) AS phrase", "carried").unionByName(phrases.selectExpr("shard", "0 AS kind", f"CAST(NULL AS {kind}) AS doc_id", "CAST(NULL AS STRING) AS text", "phrase", none))
-    located = materialise(streams.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_locate(window, phrase, keep_text), _LOCATED.format(kind=kind, carried=carried)), "located")
+    located = materialise(streams.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_locate(window, phrase, keep_text), _LOCATED.format(kind=kind, carried=carried)), "located")
 
     open_ = located.where("runs is not null")
-    answers = open_.select("block", "text", "runs").mapInArrow(_window_rows(window, shards), "range int, block int, keys binary, twice binary").repartition(shards, "range").sortWithinPartitions("range").mapInArrow(_answers, "block int, keys binary")
+    answers = open_.select("block", "text", "runs").mapInArrow(_window_rows(window, shards), "range int, block int, keys binary, twice binary").repartitionById(shards, "range").sortWithinPartitions("range").mapInArrow(_answers, "block int, keys binary")
     streams = open_.selectExpr("block", "1 AS kind", "doc_id", "text", "runs", "CAST(NULL AS BINARY) AS keys", "carried").unionByName(answers.selectExpr("block", "0 AS kind", f"CAST(NULL AS {kind}) AS doc_id", "CAST(NULL AS STRING) AS text", "CAST(NULL AS BINARY) AS runs", "keys", none))
-    changed = streams.repartition(shards, "block").sortWithinPartitions("block", "kind").mapInArrow(_remove(window, keep_text), f"doc_id {kind}, n_words long, n_removed long, kept string, carried {carried}")
+    changed = streams.repartitionById(shards, "block").sortWithinPartitions("block", "kind").mapInArrow(_remove(window, keep_text), f"doc_id {kind}, n_words long, n_removed long, kept string, carried {carried}")
     done = located.where("runs is null").selectExpr("doc_id", "n_words", "0L AS n_removed", "text AS kept", "carried")
     return done.unionByName(changed).select(F.col("doc_id").alias(doc_id), "n_words", "n_removed", "kept", *(F.col(f"carried.c{k}").alias(c) for k, c in enumerate(carry)))
 
