@@ -320,7 +320,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     shards = ranges_for(docs)
     folder = fresh_folder(docs.sparkSession, "word-codes")
     words = docs.select(text).mapInArrow(_distinct_words(shards), "shard int, keys binary, sizes binary, bytes binary")
-    words.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_encode_ranges(vocabulary, folder), "shard int, words long").collect()  # a row a range
+    words.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_encode_ranges(vocabulary, folder), "shard int, words long").collect()  # a row a range
     last = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
     return docs.select(doc_id, text).mapInArrow(_codes(folder, shards, doc_id, digest), f"{doc_id} {kind}, n_tokens long, {last}")
 

@@ -330,7 +330,7 @@ def _classes_of(texts: DataFrame, told: DataFrame, width: int) -> DataFrame:
     parts = max(texts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     signatures = told.where("block is null").select("doc_id", "n", "f1", "f2")
     table = np.zeros((BUCKET_BLOCKS, (1 << BUCKET_BITS) // BUCKET_BLOCKS), dtype=np.uint8)
-    blocks = told.where("block is not null").select("block", "counts").repartition(BUCKET_BLOCKS, "block").mapInArrow(_classes, "block int, classes binary")
+    blocks = told.where("block is not null").select("block", "counts").repartitionById(BUCKET_BLOCKS, "block").mapInArrow(_classes, "block int, classes binary")
     for row in blocks.collect():  # 64 rows, 1 MB together, whatever the corpus
         table[row["block"]] = np.frombuffer(row["classes"], dtype=np.uint8)
     order = table.reshape(-1)
