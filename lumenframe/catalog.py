@@ -263,7 +263,10 @@ def reflect_moving_avg(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.reflect_mean(spectra(spark, d), "flux", 7, 64, ["s"]).select("s", "l", "smooth"), smooth=6)
 
 
-@query()
+@query(sql("spectra", """, o AS (SELECT s, list([l] ORDER BY flux, l) AS ls FROM spectra GROUP BY s), w AS (SELECT unnest([8, 4, 2, 1]) AS w),
+p AS (SELECT s, w, list_reduce(ls, lambda a, x: CASE WHEN len(a) < 3 AND NOT list_contains([abs(q - x[1]) >= w FOR q IN a], false) THEN a || x ELSE a END, CAST([] AS BIGINT[])) AS places FROM o, w),
+b AS (SELECT s, unnest(arg_max(places, CASE WHEN len(places) >= 3 THEN 10 * w WHEN w = 1 THEN 1 ELSE 0 END)) AS l FROM p GROUP BY s)
+SELECT s, l, round(flux, 6) AS flux FROM b JOIN spectra USING (s, l)"""))
 def feature_centers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(O.spaced_peaks(spectra(spark, d), ["s"], 3, 8, "l", "flux"), flux=6)
 
@@ -428,10 +431,10 @@ def topk_backfill(spark: SparkSession, d: str) -> DataFrame:
     return rounded(O.top_with_backfill(A.energy(cube(spark, d)), ["c"], 1, 12, "energy", ["c", "p"]), energy=3)
 
 
-@query("WITH t AS (SELECT DISTINCT doc_id // 16 AS tile FROM documents), n AS (SELECT tile, ntile(8) OVER (ORDER BY tile) AS stratum FROM t) SELECT min(tile) AS tile, CAST(stratum AS INTEGER) AS stratum FROM n GROUP BY stratum")
+@query("WITH t AS (SELECT DISTINCT doc_id // 16 AS tile FROM documents), n AS (SELECT tile, ntile(8) OVER (ORDER BY tile) AS stratum FROM t) SELECT arg_min(tile, (md5('12345:' || tile), tile)) AS tile, CAST(stratum AS INTEGER) AS stratum FROM n GROUP BY stratum")
 def fair_spread_tiles(spark: SparkSession, d: str) -> DataFrame:
     tiles = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("tile")).distinct()
-    return O.strata(tiles, "tile", 8, [F.asc("tile")])
+    return O.fair_spread(tiles, "tile", 8, 12345)
 
 
 @query("WITH b AS (SELECT min(vec_id) AS low, max(vec_id) - min(vec_id) + 1 AS n FROM embeddings) SELECT DISTINCT CAST(low + floor(i * (n - 1) / 31) AS BIGINT) AS vec_id FROM b, range(0, 32) t(i)")
@@ -439,12 +442,13 @@ def even_spread_sample(spark: SparkSession, d: str) -> DataFrame:
     return O.even_spread(table(spark, d, "embeddings").select("vec_id"), "vec_id", 32)
 
 
-@query()
+@query("SELECT vec_id FROM embeddings ORDER BY md5('12345:' || vec_id), vec_id LIMIT 32")
 def seeded_choice(spark: SparkSession, d: str) -> DataFrame:
     return O.seeded_choice(table(spark, d, "embeddings").select("vec_id"), "vec_id", 32, 12345)
 
 
-@query()
+@query(sql("cube", """, m AS (SELECT s, round(sum(m), 3) AS m FROM cube GROUP BY s), t AS (SELECT * FROM m ORDER BY m DESC, s LIMIT 7)
+SELECT * FROM t UNION ALL SELECT * FROM (SELECT * FROM m WHERE s NOT IN (SELECT s FROM t) ORDER BY md5('12345:' || s), s LIMIT 3)"""))
 def bright_first(spark: SparkSession, d: str) -> DataFrame:
     return O.bright_first(rounded(cube(spark, d).groupBy("s").agg(F.sum("m").alias("m")), m=3), "m", "s", 10)
 
@@ -542,7 +546,7 @@ def metric_subsample(spark: SparkSession, d: str) -> DataFrame:
     return tracker.every_nth(events(spark, d), "event_type", ["ts", "event_id"]).select("event_id", "event_type", "seq")
 
 
-@query("SELECT event_type, arg_max(event_id, ts) AS last, arg_min(event_id, (value, ts, event_id)) AS best, round(min(value), 6) AS best_value FROM events GROUP BY event_type")
+@query("SELECT event_type, arg_max(event_id, (ts, event_id)) AS last, arg_min(event_id, (value, ts, event_id)) AS best, round(min(value), 6) AS best_value FROM events GROUP BY event_type")
 def snapshot_last_best(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tracker.last_and_best(events(spark, d), "event_type", "value", F.struct("ts", "event_id"), F.col("event_id")), best_value=6)
 
@@ -560,7 +564,8 @@ def resume_choice(spark: SparkSession, d: str) -> DataFrame:
     return tracker.resume_choice(saved, "run")
 
 
-@query()
+@query("""WITH k AS (SELECT event_type, unnest(list_reduce(list([{'t': epoch_us(ts), 'id': event_id}] ORDER BY ts, event_id), lambda a, x: CASE WHEN len(a) = 0 OR x[1].t - a[-1].t >= 3600000000 THEN a || x ELSE a END, CAST([] AS STRUCT(t BIGINT, id BIGINT)[]))) AS e FROM events GROUP BY event_type)
+SELECT k.event_type, ts, event_id FROM k JOIN events ON event_id = e.id AND events.event_type = k.event_type""")
 def snapshot_throttle(spark: SparkSession, d: str) -> DataFrame:
     return tracker.throttle(events(spark, d), "event_type", "ts", 3600, ["event_id"])
 

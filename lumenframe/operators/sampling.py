@@ -45,9 +45,14 @@ def strata(df: DataFrame, key: str, n: int, order: Sequence[Column]) -> DataFram
     return top_per_group(tiled, ["stratum"], 1, *order).drop("rank")
 
 
+def fair_spread(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """One row of each of n ranges of a small dense key, drawn by the MD5 of seed and key: the same for the same seed."""
+    return strata(df, key, n, [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)])
+
+
 def seeded_choice(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows without replacement, the same for the same seed whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows without replacement, the same for the same seed whatever the partitions: those with the smallest MD5 of seed and key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def bright_first(df: DataFrame, value: str, key: str, n: int, bright: float = 0.7, seed: int = 12345) -> DataFrame:
@@ -84,12 +89,40 @@ def spaced_peaks(df: DataFrame, by: Sequence[str], n: int, gap: int, order: str
 
 
 def diverse_pairs(df: DataFrame, a: str, b: str, score: str, n: int) -> DataFrame:
-    """n pairs by score, first those whose both sides are their sides' best and so all different, then the rest."""
+    """n pairs by score, first those whose both sides are their sides' best and so all different, then the rest.
+
+    For tables of any size; diverse_greedy() walks a short list as a snapshot of pairs is picked by hand.
+    """
     best_a = F.row_number().over(W.partitionBy(a).orderBy(F.desc(score), F.asc(b)))
     best_b = F.row_number().over(W.partitionBy(b).orderBy(F.desc(score), F.asc(a)))
     return df.withColumns({"_a": best_a, "_b": best_b}).orderBy(F.greatest("_a", "_b"), F.desc(score), a, b).limit(n).drop("_a", "_b")
 
 
+def diverse_greedy(df: DataFrame, a: str, b: str, score: str, n: int, tile: int, most: int = 100_000) -> DataFrame:
+    """n pairs in the order of their scores: first pairs whose tiles are new on both sides, then those where one is, then any.
+
+    Each pick hangs on those before it, so this walks the ``most`` best pairs in one task; more than that is refused.
+    """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} pairs: use diverse_pairs")
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([score, a, b], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        rows, columns, picked = set(), set(), []
+        for need in (2, 1, 0):
+            for i, x, y in zip(g.index, g[a] // tile, g[b] // tile, strict=True):
+                if len(picked) == n:
+                    break
+                if i not in picked and (x not in rows) + (y not in columns) >= need:
+                    picked.append(i)
+                    rows.add(x)
+                    columns.add(y)
+        return g.loc[picked].assign(turn=range(1, len(picked) + 1))
+
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (a, b, score))
+    return df.select(a, b, score).groupBy().applyInPandas(walk, f"{schema}, turn long")
+
+
 def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.join(b.select(*keys).distinct(), list(keys), "left_semi")
 

@@ -56,24 +56,28 @@ def models_of(losvd: DataFrame, templates: np.ndarray, template_log: np.ndarray,
     return losvd.select(F.col("s").cast("long"), F.col("c").cast("int"), "h").mapInArrow(run, "tile int, s long, c int, p long, m array<float>")
 
 
-def build(store: Store, pad: int = 64) -> int:
-    """Builds the tiles that are not yet in the log; the number of tiles built."""
+def build(store: Store, pad: int = 64, tiles_at_once: int = 64) -> int:
+    """Builds the tiles that are not yet in the log; the number of tiles built.
+
+    Some tiles at a time are written and then logged, so that a build that is cut off goes on where it was.
+    """
     if store.complete():
         return 0
     template_log, observed_log, velocities = (store.axis(n) for n in ("template", "observed", "velocity"))
     check_coverage(template_log, observed_log, velocities, pad)
     rows = store.table("templates").orderBy("p").select("flux").collect()  # populations x pixels: bounded by the grids
     templates = np.array([r["flux"] for r in rows])
-    todo = pending(store.tiles(), store.table("build_log"), ["tile"]).cache()
-    n = todo.count()
-    if n:
-        losvd = store.table("losvd").withColumn("tile", F.floor(F.col("s") / store.tile_size).cast("int")).join(todo, "tile", "left_semi")
-        built = models_of(losvd, templates, template_log, observed_log, velocities, store.tile_size)
-        store.write("models", built.repartition("tile").sortWithinPartitions("tile", "s", "c", "p"))
-        store.write("build_log", todo.select("tile", F.lit(0).alias("cb"), F.lit(0).alias("pb")))
-    todo.unpersist()
+    todo = sorted(r["tile"] for r in pending(store.tiles(), store.table("build_log"), ["tile"]).collect())  # a few thousand
+    components = max(int(store.metadata().get("n_c", 1)), 1)
+    for at in range(0, len(todo), tiles_at_once):
+        some = todo[at : at + tiles_at_once]
+        losvd = store.table("losvd").withColumn("tile", F.floor(F.col("s") / store.tile_size).cast("int")).where(F.col("tile").isin(some))
+        # One task, and one file, for each component of a tile.
+        spread = losvd.repartition(len(some) * components, "tile", "c").sortWithinPartitions("tile", "c", "s")
+        store.write("models", models_of(spread, templates, template_log, observed_log, velocities, store.tile_size))
+        store.write("build_log", store.spark.createDataFrame([(tile, 0, 0) for tile in some], "tile int, cb int, pb int"))
     store.set_metadata(complete=True, norm_mode="model")
-    return n
+    return len(todo)
 
 
 def preflight(templates: np.ndarray, kernel: np.ndarray, centre: int) -> dict[str, float]:

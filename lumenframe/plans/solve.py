@@ -8,13 +8,15 @@ diagonal in Spark, a step on the column table, a line search from three sums.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.contraction import gradient, gram, predict, residual
+from ..operators.contraction import gradient, predict, residual
 from ..sources.workspace import materialise
 
 #: Columns up to which the normal equations go to the driver: 5,000 need 200 MB.
@@ -42,16 +44,66 @@ class NormalEquations:
         return float(self.yy - 2 * self.b @ x + x @ self.g @ x)
 
 
+def _products(place: dict[tuple, int]):
+    """Rows (s, l, k1, k2, m) sorted by s: A'A summed over a task's apertures, a row of it for each column that occurs."""
+    n = len(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, held, now = np.zeros((n, n)), [], None
+
+        def close() -> None:
+            at, column, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows, row_of = np.unique(at, return_inverse=True)
+            dense = np.zeros((len(rows), n))
+            np.add.at(dense, (row_of, column), value)
+            used = np.flatnonzero(dense.any(axis=0))
+            g[np.ix_(used, used)] += dense[:, used].T @ dense[:, used]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, at, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 4))
+            column = np.array([place[k] for k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], dtype=np.int64)
+            cuts = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and s[a] != now:
+                    close()
+                    held.clear()
+                now = s[a]
+                held.append((at[a:b], column[a:b], m[a:b].astype(float)))
+        if held:
+            close()
+        used = np.flatnonzero(g.any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_pydict({"i": pa.array(used, pa.int64()), "g": pa.array([r.astype("<f8").tobytes() for r in g[used]], pa.binary())})
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the rows of A'A that tasks sent."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            row = np.frombuffer(raw, dtype="<f8")
+            total[i] = total[i] + row if i in total else row
+    yield pa.RecordBatch.from_pydict({"i": pa.array(list(total), pa.int64()), "g": pa.array([r.tobytes() for r in total.values()], pa.binary())})
+
+
 def normal_equations(models: DataFrame, data: DataFrame, keys: tuple[str, str] = ("c", "p")) -> NormalEquations:
-    """Sums A'A, A'y and y'y; refuses more columns than the driver should hold."""
+    """Sums A'A, A'y and y'y; refuses more columns than the driver should hold.
+
+    An aperture's rows meet in one task, which adds a dense product; pairs of columns are never rows.
+    """
     order = sorted(tuple(r) for r in models.select(*keys).distinct().limit(MOST_COLUMNS + 1).collect())
     if len(order) > MOST_COLUMNS:
         raise ValueError(f"more than {MOST_COLUMNS} columns: use solve_by_epochs")
     place = {k: i for i, k in enumerate(order)}
     g, b = np.zeros((len(order), len(order))), np.zeros(len(order))
-    for r in gram(models, keys).collect():
-        i, j = place[tuple(r["i"])], place[tuple(r["j"])]
-        g[i, j] = g[j, i] = r["g"]
+    rows = models.select(F.col("s").cast("long"), F.col("l").cast("long"), *keys, F.col("m").cast("double"))
+    parts = rows.repartition("s").sortWithinPartitions("s").mapInArrow(_products(place), "i long, g binary")
+    for r in parts.repartition("i").mapInArrow(_added, "i long, g binary").toLocalIterator():  # a row a column, 200 MB at most
+        g[r["i"]] = np.frombuffer(bytes(r["g"]), dtype="<f8")
     for r in models.join(data.select("s", "l", "flux"), ["s", "l"]).groupBy(*keys).agg(F.sum(F.col("m") * F.col("flux")).alias("b")).collect():
         b[place[tuple(r)[:2]]] = r["b"]
     yy = data.agg(F.sum(F.col("flux") * F.col("flux"))).first()[0] or 0.0

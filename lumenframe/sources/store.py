@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import matches_any, parse_selection
@@ -158,6 +159,34 @@ class Store:
             self.write("pixels", frame([(i, float(x), float(y), int(b)) for i, (x, y, b) in enumerate(zip(pixels["x"], pixels["y"], pixels["bin"], strict=True))], "pixels"))
         self.set_metadata(n_s=n_s, n_l=n_l, n_t=len(template_log), n_v=len(velocities), n_c=losvd.shape[2], pop_shape=[n_z, n_age, n_alpha], complete=False)
 
+    def ingest_tables(self, *, spectra: DataFrame, losvd: DataFrame, templates: DataFrame, axis: DataFrame, prior: DataFrame | None = None, pixels: DataFrame | None = None, pop_shape: Sequence[int] | None = None) -> None:
+        """Tables with the declared columns into the store; checked in Spark before anything is written, and never on the driver.
+
+        Of a prior with a weight for each column the populations are summed; it sums to one, and evenly where it has no mass.
+        """
+        sizes = {r["name"]: (r["n"], r["bad"]) for r in axis.withColumn("_step", F.col("coord") - F.lag("coord").over(W.partitionBy("name").orderBy("idx"))).groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.isnan("coord") | F.col("coord").isNull() | (F.col("_step") <= 0)).alias("bad")).collect()}
+        for name in ("template", "observed", "velocity"):
+            if name not in sizes or sizes[name][1]:
+                raise ValueError(f"the {name} grid must be finite and increase")
+        for label, table, column, name in (("spectra", spectra, "flux", "observed"), ("losvd", losvd, "h", "velocity"), ("templates", templates, "flux", "template")):
+            if not table.where(F.coalesce(F.size(column) != sizes[name][0], F.lit(True))).isEmpty():
+                raise ValueError(f"{label} must be as long as the {name} grid")
+        apertures = spectra.select("s").distinct()
+        if not losvd.join(apertures, "s", "left_anti").isEmpty():
+            raise ValueError("a histogram must belong to an aperture")
+        if pixels is not None and not pixels.join(apertures, F.col("bin") == F.col("s"), "left_anti").isEmpty():
+            raise ValueError("a pixel's bin must be an aperture")
+        n_c = losvd.agg(F.max("c")).first()[0]
+        n_p = templates.count()
+        for name, table in (("axis", axis), ("spectra", spectra), ("losvd", losvd), ("templates", templates), ("pixels", pixels)):
+            if table is not None:
+                self.write(name, table)
+        if prior is not None:
+            whole = prior.groupBy("c").agg(F.sum(F.greatest("w", F.lit(0.0))).alias("w"))
+            total = whole.agg(F.sum("w").alias("t"), F.count("*").alias("k"))
+            self.write("comp_prior", whole.crossJoin(F.broadcast(total)).select("c", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(1 / F.col("k")).alias("w")))  # one row
+        self.set_metadata(n_s=spectra.count(), n_l=sizes["observed"][0], n_t=sizes["template"][0], n_v=sizes["velocity"][0], n_c=int(n_c) + 1 if n_c is not None else 0, pop_shape=list(pop_shape or [n_p, 1, 1]), complete=False)
+
     def axis(self, name: str) -> np.ndarray:
         """One spectral or velocity axis, a few thousand numbers."""
         return np.array([r["coord"] for r in self.table("axis").where(F.col("name") == name).orderBy("idx").select("coord").collect()])

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.workspace import materialise
+
 ALPHA, OUTLIER, STRIDE, RING, FLUSH_SECONDS = 0.02, 1e3, 16, 96, 5
 
 
@@ -67,9 +69,23 @@ def stream_ewma(stream: DataFrame, by: str, order: Sequence[str], value: str, al
     return stream.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, ewma double, n long", "ewma double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def numbered(events: DataFrame, by: str, order: Sequence[str], name: str = "seq") -> DataFrame:
+    """Events with their place in their group, from 0.
+
+    Ranges of the order are numbered each for itself and then moved on by the counts before them, so that a group with most
+    of the rows is many tasks' work.  The order must tell all events apart; the table of ranges is written, so that they stay.
+    """
+    ranges = materialise(events.repartitionByRange(by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy(by, "_range").agg(F.count("*").alias("_n"))  # a row a group and range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col(by).alias("_by"), F.col("_range").alias("_of"), "_before")
+    own = F.row_number().over(W.partitionBy(by, "_range").orderBy(*order)) - 1
+    joined = ranges.withColumn("_own", own).join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return joined.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_by", "_of", "_before")
+
+
 def every_nth(events: DataFrame, by: str, order: Sequence[str], n: int = STRIDE) -> DataFrame:
     """The first and then every n-th event of each group."""
-    return events.withColumn("seq", F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1).where(F.col("seq") % n == 0).withColumn("seq", F.col("seq").cast("long"))
+    return numbered(events, by, order).where(F.col("seq") % n == 0)
 
 
 def throttle(events: DataFrame, by: str, ts: str, seconds: int, order: Sequence[str]) -> DataFrame:
@@ -99,8 +115,7 @@ def last_and_best(events: DataFrame, by: str, value: str, order: Column, payload
 
 def ring(events: DataFrame, by: str, order: Sequence[str], size: int = RING) -> DataFrame:
     """The newest event of each slot of a ring that the events of a group go round."""
-    seq = F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1
-    placed = events.withColumn("seq", seq.cast("long")).withColumn("slot", F.col("seq") % size)
+    placed = numbered(events, by, order).withColumn("slot", F.col("seq") % size)
     last = placed.groupBy(by).agg(F.max("seq").alias("top"))
     return placed.join(last, by).where(F.col("seq") > F.col("top") - size).drop("top")
 
