@@ -9,8 +9,8 @@
    Codes and bytes go to sorted hash arrays in the shared folder.
 3. A second pass over the texts looks the words up and joins codes and bytes.
 
-One step may contract all of a word's non-overlapping pairs of the smallest
-rank, which is what taking the leftmost again and again comes to as long as the
+Words of more than ``SHORT`` bytes have a recursion of their own: one step may
+contract all of a word's non-overlapping pairs of the smallest rank, which is what taking the leftmost again and again comes to as long as the
 new token starts no pair of a smaller rank; for tokens that can, a step
 contracts the leftmost pair only.  A word that is itself in the vocabulary is its
 one id, as in the library whose ids these are.
@@ -42,12 +42,29 @@ from .textkernel import _LETTERS, _ODD, U64, _power_tables, buffers, mix64, slic
 
 #: Words in one recursive query, and bytes of them: its tables stay below a few hundred MB.
 WORDS_AT_ONCE, BYTES_AT_ONCE = 20_000, 250_000
+#: Bytes of a word up to which a step contracts one pair of it.
+SHORT = 48
 #: Bytes of text whose words are looked up together: the more, the fewer words are met again.
 SLICE = 4 << 20
 #: Bytes of distinct words that a map task holds before it sends them.
 HELD_BYTES = 128 << 20
 
 STEPS = """
+WITH RECURSIVE step(w, p, t) USING KEY (w, p) AS (
+  SELECT w, p, t FROM tokens
+  UNION
+  SELECT w, unnest([best.p, best.q]), unnest([best.rank, -1])
+  FROM (
+    SELECT a.w, min({'rank': m.rank, 'p': a.p, 'q': a.q}) AS best
+    FROM (SELECT w, p, t, lead(t) OVER ahead AS next, lead(p) OVER ahead AS q FROM recurring.step WHERE t >= 0 AND w IN (SELECT w FROM step) WINDOW ahead AS (PARTITION BY w ORDER BY p)) a
+    JOIN merges m ON m.l = a.t AND m.r = a.next
+    GROUP BY a.w
+  )
+)
+SELECT w, p, t FROM step WHERE t >= 0
+"""
+
+LONG_STEPS = """
 WITH RECURSIVE step(w, p, t) USING KEY (w, p) AS (
   SELECT w, p, t FROM tokens
   UNION
@@ -116,33 +133,41 @@ def _engine(path: str) -> duckdb.DuckDBPyConnection:
 
 def encode_words(words: list[bytes], path: str) -> tuple[list[list[int]], list[bytes]]:
     """Ids of each word, and the bytes that they decode to."""
-    ranks, db = ranks_of(path), _engine(path)
-    single = np.array([ranks[bytes([k])] for k in range(256)], dtype=np.int32)
     ids: list = [None] * len(words)
     texts: list = [b""] * len(words)
-    at = 0
-    while at < len(words):
-        to, size = at, 0
-        while to < len(words) and (to == at or (to - at < WORDS_AT_ONCE and size + len(words[to]) <= BYTES_AT_ONCE)):
-            size += len(words[to])
-            to += 1
-        part = words[at:to]
-        known = np.array([ranks.get(w, -1) for w in part], dtype=np.int32)
-        lengths = np.where(known >= 0, 1, [len(w) for w in part])
-        raw = np.frombuffer(b"".join(w if k < 0 else b"\0" for w, k in zip(part, known.tolist(), strict=True)), dtype=np.uint8)
-        first = np.cumsum(lengths) - lengths
-        tokens = single[raw]
-        tokens[first[known >= 0]] = known[known >= 0]
-        table = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lengths), "p": (np.arange(len(raw)) - np.repeat(first, lengths)).astype(np.int32), "t": tokens})
-        db.register("tokens", table)
-        codes = db.sql(STEPS).to_arrow_table()
-        db.register("codes", codes)
-        out = db.sql(DECODE).to_arrow_table()
-        for w, i, t in zip(out["w"].to_pylist(), out["ids"].to_pylist(), out["text"].to_pylist(), strict=True):
-            ids[at + w], texts[at + w] = i, t
-        db.unregister("tokens")
-        db.unregister("codes")
-        at = to
+    for steps, chosen in ((STEPS, [i for i, w in enumerate(words) if len(w) <= SHORT]), (LONG_STEPS, [i for i, w in enumerate(words) if len(w) > SHORT])):
+        at = 0
+        while at < len(chosen):
+            to, size = at, 0
+            while to < len(chosen) and (to == at or (to - at < WORDS_AT_ONCE and size + len(words[chosen[to]]) <= BYTES_AT_ONCE)):
+                size += len(words[chosen[to]])
+                to += 1
+            for i, own, text in zip(chosen[at:to], *_encode_some([words[i] for i in chosen[at:to]], path, steps), strict=True):
+                ids[i], texts[i] = own, text
+            at = to
+    return ids, texts
+
+
+def _encode_some(part: list[bytes], path: str, steps: str) -> tuple[list[list[int]], list[bytes]]:
+    """One query's words."""
+    ranks, db = ranks_of(path), _engine(path)
+    single = np.array([ranks[bytes([k])] for k in range(256)], dtype=np.int32)
+    known = np.array([ranks.get(w, -1) for w in part], dtype=np.int32)
+    lengths = np.where(known >= 0, 1, [len(w) for w in part])
+    raw = np.frombuffer(b"".join(w if k < 0 else b"\0" for w, k in zip(part, known.tolist(), strict=True)), dtype=np.uint8)
+    first = np.cumsum(lengths) - lengths
+    tokens = single[raw]
+    tokens[first[known >= 0]] = known[known >= 0]
+    table = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lengths), "p": (np.arange(len(raw)) - np.repeat(first, lengths)).astype(np.int32), "t": tokens})
+    db.register("tokens", table)
+    db.register("codes", db.sql(steps).to_arrow_table())
+    out = db.sql(DECODE).to_arrow_table()
+    db.unregister("tokens")
+    db.unregister("codes")
+    ids: list = [[] for _ in part]
+    texts = [b""] * len(part)
+    for w, i, t in zip(out["w"].to_pylist(), out["ids"].to_pylist(), out["text"].to_pylist(), strict=True):
+        ids[w], texts[w] = i, t
     return ids, texts
 
 

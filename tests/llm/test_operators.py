@@ -185,6 +185,11 @@ def test_encoding(docs):
     hard = ["th" * 300, "a" * 700, " " * 333, "=-" * 99, "é" * 200, "abcth" * 50, "%$#!" * 60]
     ids, texts = byte_bpe.encode_words([w.encode() for w in hard], PATH)
     assert ids == [own._core_bpe.encode_single_piece(w.encode()) for w in hard] and texts == [w.encode() for w in hard]
+    import random
+
+    r = random.Random(4)
+    mixed = [bytes(r.choice(b"etaoinshrdluTHE \xc3\xa9\xe6\xbc\xa2123") for _ in range(r.randint(1, 90))) for _ in range(400)]
+    assert byte_bpe.encode_words(mixed, PATH)[0] == [own._core_bpe.encode_single_piece(w) for w in mixed]
     assert byte_bpe.decode_ids(ids[0], PATH).decode() == hard[0] and byte_bpe.decode_ids([], PATH) == b""
 
 
