@@ -63,7 +63,9 @@ SYMBOLS = ("o", "u", "n", "r", "c", "c'", "w", "s", "h", "l", "y", "e", "d", "x"
 #: What is left of them after the first three transducers.
 _PLAIN = ("o", "u", "n", "r", "t", "i1", "i2", "i3")
 _HITS = ("t", "i1", "i2", "i3")
-_WEIGHT = {"t": 1.0, "i1": 1.0, "i2": 2.0, "i3": 3.0}
+_WEIGHT = {"t": 0.5, "i1": 1.0, "i2": 2.0, "i3": 3.0}
+#: What a target near by adds: a word of violence is a threat by whom it is meant for, an insult is one by itself.
+_AIMED = {"t": 1.0, "i1": 0.5, "i2": 0.5, "i3": 0.5}
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".!?;:,\n")] = True
 
@@ -133,11 +135,12 @@ def _reported() -> Transducer:
     return t
 
 
-def _target(reach: int = 4, bonus: float = 0.5) -> Transducer:
+def _target(reach: int = 4) -> Transducer:
     """A hit up to ``reach`` words after a target, or before one, weighs more; the machine guesses the one that comes and must then meet it."""
     t = Transducer()
     hits = [h + m for h in _HITS for m in ("", "-", "~", "-~")]
     for s in [*(x for x in _PLAIN if x not in _HITS), *hits]:
+        bonus = _AIMED.get(s.rstrip("-~"), 0.0)
         for state in range(reach + 1):
             t.arc(state, s, s, bonus if s in hits and state else 0.0, reach if s == "u" else max(state - 1, 0))
         if s in hits:

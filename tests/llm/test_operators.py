@@ -373,7 +373,7 @@ def test_grammar_looks_ahead_and_reads_phrases():
     toxicity_of = lambda text: own.features(next(toxicity.split_batches(pa.array([text]), lower=True, outside=toxicity.NOT_ALNUM))[2])[0, 1]
     assert toxicity_of("idiot") == 2.0 and toxicity_of("you idiot") == 2.5 and toxicity_of("you idiot you") == 2.5
     assert toxicity_of("idiot that is what you are") == 2.5 and toxicity_of("idiot o o o o you") == 2.0
-    assert toxicity_of("idiot idiot you") == 5.0 and toxicity_of("kill you") == 1.5 and toxicity_of("kill it") == 1.0
+    assert toxicity_of("idiot idiot you") == 5.0 and toxicity_of("kill you") == 1.5 and toxicity_of("kill it") == 0.5 and toxicity_of("you kill it") == 1.5
     assert toxicity_of("I will kill you") == 2.0 and toxicity_of("you will regret this") == 1.5 and toxicity_of("I regret this") == 0.0
     assert toxicity_of("you will die") == 1.5 and toxicity_of("sie will die Tür") == 0.0
     assert toxicity_of("piece of trash") == 2.0 and toxicity_of("take out the trash") == 0.0 and toxicity_of("piece of cake") == 0.0
