@@ -13,6 +13,7 @@ from .catalog import against_label, label_mean, masses, query, rounded
 from .operators import aggregates as A
 from .operators import columns as C
 from .operators import contraction as J
+from .operators import maps as M
 from .operators import mixtures as X
 from .operators import sampling as O
 from .workloads import cube, events, losvd, spectra, sql, table
@@ -198,3 +199,14 @@ def norm_convert_tensor(spark: Spark, d: str) -> DataFrame:
 def best_per_stratum(spark: Spark, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("s"), F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("v"))
     return O.top_per_group(rows, ["n"], 3, F.desc("v"), F.asc("s")).select("s", F.col("rank").alias("turn"))
+
+
+@query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def events_by_hour(spark: Spark, d: str) -> DataFrame:
+    return rounded(M.events_by_hour(events(spark, d)), mean=6)
+
+
+@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 50) AS raw, least(greatest(coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 50), 20), 80) AS setting FROM events")
+def bounded_settings(spark: Spark, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return rows.select("event_id", M.with_default("k", 50.0).alias("raw"), M.with_default("k", 50.0, 20.0, 80.0).alias("setting"))

@@ -81,6 +81,18 @@ def test_a_cut_off_build_goes_on(spark, tmp_path, monkeypatch):
     assert store.dims() == {"s": 6, "l": 48, "c": 2, "p": 3} and store.basis(3, 1).count() == 3 and store.template(2).count() == 1
 
 
+def test_tile_shapes():
+    from lumenframe.operators import maps
+
+    assert maps.tile_shape(2854, 207, 360, 1247, 1 << 30) == (128, 4, 360)
+    assert maps.tile_shape(10, 2, 3, 48) == (10, 2, 3)
+    s, c, p = maps.tile_shape(10, 2, 10_000, 10_000, 1 << 20)
+    assert (s, c) == (1, 1) and p == (1 << 20) // 40_000
+    assert maps.power_of_two_below(100) == 64 and maps.power_of_two_below(0) == 0
+    with pytest.raises(ValueError):
+        maps.tile_shape(0, 1, 1, 1)
+
+
 def test_pairs_that_are_new_on_both_sides(spark):
     from lumenframe.operators.sampling import diverse_greedy
 
