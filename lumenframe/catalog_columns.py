@@ -13,6 +13,7 @@ from .catalog import against_label, label_mean, masses, query, rounded
 from .operators import aggregates as A
 from .operators import columns as C
 from .operators import contraction as J
+from .operators import cuts as K
 from .operators import maps as M
 from .operators import mixtures as X
 from .operators import sampling as O
@@ -210,3 +211,46 @@ def events_by_hour(spark: Spark, d: str) -> DataFrame:
 def bounded_settings(spark: Spark, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
     return rows.select("event_id", M.with_default("k", 50.0).alias("raw"), M.with_default("k", 50.0, 20.0, 80.0).alias("setting"))
+
+
+@query(sql("spectra", """, k AS (SELECT s, l, flux FROM spectra WHERE l BETWEEN 10 AND 20 OR l BETWEEN 40 AND 50), t AS (SELECT s, avg(flux) AS m, stddev_pop(flux) AS sd FROM k GROUP BY s)
+SELECT s, l, round((flux - m) / sd, 6) AS z FROM k JOIN t USING (s) WHERE sd > 0"""))
+def window_z_scores(spark: Spark, d: str) -> DataFrame:
+    inside = F.col("l").between(10, 20) | F.col("l").between(40, 50)
+    return rounded(K.standardised(spectra(spark, d), "flux", inside).select("s", "l", "z"), z=6)
+
+
+@query(sql("spectra", "SELECT s, l, round(flux, 6) AS flux, row_number() OVER (PARTITION BY s ORDER BY flux, l) AS rank FROM spectra QUALIFY rank <= 2"))
+def deepest_features(spark: Spark, d: str) -> DataFrame:
+    return rounded(K.deepest(spectra(spark, d), "flux", 2).select("s", "l", "flux", "rank"), flux=6)
+
+
+@query(sql("cube", """, k AS (SELECT c, p, 190 - sum(m) / 30 AS g, sum(m * m) AS d FROM cube GROUP BY c, p)
+SELECT c, p, round(g, 7) AS g, row_number() OVER (PARTITION BY c ORDER BY g, p) AS rank FROM k WHERE g < -1e-6 QUALIFY rank <= 3"""))
+def candidate_columns(spark: Spark, d: str) -> DataFrame:
+    sums = cube(spark, d).groupBy("c", "p").agg((190 - F.sum("m") / 30).alias("g")).withColumn("x", F.lit(0.0))
+    return rounded(K.candidates(sums, 3).select("c", "p", "g", "rank"), g=7)
+
+
+@query(sql("cube", """, k AS (SELECT c, p, sum(m) / sqrt(sum(m * m)) AS score FROM cube GROUP BY c, p)
+SELECT c, p, round(score, 7) AS score, row_number() OVER (PARTITION BY c ORDER BY score DESC, p) AS rank FROM k QUALIFY rank <= 2"""))
+def correlation_rank(spark: Spark, d: str) -> DataFrame:
+    sums = cube(spark, d).groupBy("c", "p").agg(F.sum("m").alias("g"), F.sum(F.col("m") * F.col("m")).alias("d"))
+    return rounded(K.correlation_rank(sums, 2).select("c", "p", "score", "rank"), score=7)
+
+
+@query(sql("cube", """, k AS (SELECT c, p, sum(m) AS x, sum(m * m) AS e FROM cube GROUP BY c, p), m AS (SELECT c, sum(x * e) AS mass FROM k GROUP BY c)
+SELECT c, round(least(greatest((c / sum(c) OVER ()) / (mass / sum(mass) OVER ()), 0.5), 1.5), 7) AS scale FROM m"""))
+def component_scales(spark: Spark, d: str) -> DataFrame:
+    x = masses(spark, d)
+    energies = A.energy(cube(spark, d))
+    target = x.select("c").distinct().withColumn("w", F.col("c").cast("double"))
+    return rounded(K.component_scales(x, energies, target, 0.5, 1.5), scale=7)
+
+
+@query(sql("spectra label_mean", """, w AS (SELECT s, c, l, flux, unnest([-2, -1, 0, 1, 2]) AS shift FROM spectra WHERE l BETWEEN 8 AND 55)
+SELECT s, CAST(shift AS INTEGER) AS shift, round(corr(flux, m), 6) AS score FROM w JOIN label_mean a ON a.c = w.c AND a.l = w.l + shift GROUP BY s, shift"""))
+def shift_scores(spark: Spark, d: str) -> DataFrame:
+    data = spectra(spark, d)
+    model = against_label(data).select("s", "l", "yhat")
+    return rounded(K.shifted_scores(data, model, data.where(F.col("l").between(8, 55)), range(-2, 3)), score=6)

@@ -145,3 +145,33 @@ def test_a_rewrite_that_is_cut_off(spark, tmp_path):
     store.write("pixels", spark.createDataFrame([(1, 0.0, 0.0, 0)], "pix long, x double, y double, bin int"))
     os.rename(f"{store.path}/pixels", f"{store.path}/pixels.old")
     assert store.table("pixels").count() == 1 and os.path.isdir(f"{store.path}/pixels")
+
+
+def test_lists_paths_and_logs(spark, tmp_path):
+    import logging
+
+    from lumenframe.sources import lists
+
+    (tmp_path / "lines.txt").write_text("# name place\nHbeta   4861.3\n\n  Mgb\t5175 kept\nodd word\n")
+    got = lists.read_list(spark, str(tmp_path / "lines.txt"), ["name string", "place double", "note string"])
+    assert sorted(map(tuple, got.collect()), key=str) == [("Hbeta", 4861.3, None), ("Mgb", 5175.0, "kept"), ("odd", None, None)]
+    assert lists.store_path("s3a://b/c/") == "s3a://b/c" and lists.store_path(tmp_path / "x") == str(tmp_path / "x")
+    assert lists.exists(spark, tmp_path) and not lists.exists(spark, tmp_path / "none")
+    with lists.logged(tmp_path / "logs", capture=True) as logger:
+        print("printed")
+        lists.say(logger, "said")
+    text = next((tmp_path / "logs").iterdir()).read_text()
+    assert "INFO printed" in text and "INFO said" in text and not logging.getLogger("lumenframe").handlers
+
+
+def test_cuts(spark):
+    from lumenframe.operators import cuts
+
+    axis = spark.createDataFrame([(k, float(k)) for k in range(20)], "idx int, coord double")
+    assert cuts.cropped(axis, 8.0, 10.0, 2, 1.0).count() == 7
+    with pytest.raises(ValueError):
+        cuts.cropped(axis, 1.0, 10.0, 2, 1.0)
+    with pytest.raises(ValueError):
+        cuts.cropped(axis.limit(0), 1.0, 10.0, 2, 1.0)
+    flat = spark.createDataFrame([(0, 0, 2.0), (0, 1, 2.0), (1, 0, float("nan"))], "s long, l long, flux double")
+    assert rows(cuts.standardised(flat, "flux", flat["l"] >= 0), "s", "l", "z") == [(0, 0, 0.0), (0, 1, 0.0)]
