@@ -193,7 +193,7 @@ def units(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     for n in BEGINNINGS:
         at = np.flatnonzero(w.end - w.start > n)
         h = (total[w.start[at] + n] - total[w.start[at]]) * inverse[w.start[at]]
-        out.append((at, mix64(h + U64(n + 1000) * _ODD)))
+        out.append((at, mix64(h + U64((n + 1000) * int(_ODD) % (1 << 64)))))
     return out
 
 
