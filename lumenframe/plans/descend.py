@@ -184,7 +184,8 @@ class System:
             yield tiles[at : at + most]
 
     def _as_column(self, values: np.ndarray):
-        return F.array(*(F.lit(float(v)) for v in values)) if len(values) <= 64 else F.from_json(F.lit(str(list(map(float, values)))), "array<double>")
+        """One axis as a constant array."""
+        return F.array(*(F.lit(float(v)) for v in values))
 
     def predict(self, x: np.ndarray) -> DataFrame:
         """(s, yhat) of the apertures that any used column has models for."""
