@@ -12,8 +12,11 @@ a candidate's sets are intersected.
 Equal sets are one node from the start.  Each group of documents that share a
 prefix token is first compared with its leader, the member with the fewest
 tokens before the shared one; most of a large group of copies falls into the
-leader's class.  Then every pair of a group that is still in different classes
-and within the bounds is compared, in blocks.  So every link between different
+leader's class.  A group whose token may be far more frequent than most is dealt
+by parts, each with a leader of its own, and the parts' leaders are then compared
+with the first of them.  Then every pair of a group that is still in different
+classes and within the bounds is compared: the members outside of the group's
+largest class visit blocks of all its members.  So every link between different
 classes is tested and no group is expanded into all its pairs.
 
 Defined cases: a null, empty or wordless text has no shingles, links with
@@ -50,8 +53,10 @@ BUCKET_BITS, BUCKET_BLOCKS = 20, 64
 OTHER_ORDERS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 #: Rows of a table of ids or links that one task reads, and a hundred times the sets.
 ROWS = 200_000
-#: Members of a group compared in one block.
-BLOCK = 4096
+#: Members of a group, and visitors to them, compared in one block; blocks are smaller where a group has few visitors.
+BLOCK, SMALL_BLOCK = 4096, 1024
+#: A token's rows that one task takes are of the order of this, or of four times the mean of a bucket's if that is more.
+HOT = 1024
 #: Bits of the filter of wanted ids: 16 for each id, between these bounds (at most 16 MB).  Beyond, more sets pass it than are joined.
 FILTER_BITS = (20, 27)
 
@@ -121,14 +126,21 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), type=pa.int32()), "classes": pa.array([np.minimum(4 * np.log2(1.0 + t), 255).astype(np.uint8).tobytes() for t in total.values()], type=pa.binary())})
 
 
-_PREFIX = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_PREFIX = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
-def _prefixes(width: int, classes: np.ndarray):
-    """The prefix tokens of each distinct set of a task, with their places in the first order."""
+def _parts(classes: np.ndarray, hot: int) -> np.ndarray:
+    """Parts that the rows of a token are dealt in, by its bucket."""
+    counts = np.exp2(classes / 4) - 1
+    return np.maximum(np.ceil(counts / max(hot, 4 * counts.mean())), 1).astype(np.int64)
+
+
+def _prefixes(width: int, classes: np.ndarray, hot: int):
+    """The prefix tokens of each distinct set of a task, with their places in the first order; the part of a token that has one is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
+        parts_of = _parts(classes, hot)
         for batch in batches:
             parts = []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
@@ -141,31 +153,37 @@ def _prefixes(width: int, classes: np.ndarray):
                 parts.append((s[first], doc, len(s), p))
             if parts:
                 sizes = [p for *_, p in parts]
-                yield record_batch({"token": signed(np.concatenate([t for t, *_ in parts])), "doc": np.repeat([d for _, d, _, _ in parts], sizes), "n": np.repeat([n for _, _, n, _ in parts], sizes), "pos": np.concatenate([np.arange(p) for p in sizes])}, _PREFIX)
+                token, doc = np.concatenate([t for t, *_ in parts]), np.repeat(np.array([d for _, d, _, _ in parts], dtype=np.int64), sizes)
+                most = parts_of[(token >> U64(64 - BUCKET_BITS)).astype(np.int32)]
+                part = np.where(most > 1, (mix64(doc.view(U64)) % most.astype(U64)).astype(np.int64), -1)
+                yield record_batch({"token": signed(token), "part": part.astype(np.int32), "doc": doc, "n": np.repeat([n for _, _, n, _ in parts], sizes), "pos": np.concatenate([np.arange(p) for p in sizes])}, _PREFIX)
 
     return run
 
 
-_HIT = pa.schema([*_PREFIX, ("leader", pa.int64()), ("leader_n", pa.int32()), ("leader_pos", pa.int32())])
+_HIT = pa.schema([(name, kind) for name, kind in zip(_PREFIX.names, _PREFIX.types, strict=True) if name != "part"] + [("leader", pa.int64()), ("leader_n", pa.int32()), ("leader_pos", pa.int32())])
 
 
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token and place: each row but a token's first, with that first one.  Holds one row besides the batch."""
+    """Rows sorted by token, part and place: each row but a part's first, with that first one; the firsts of a token of several parts have no leader.
+
+    Holds one row besides the batch.
+    """
     last = None
     for batch in batches:
-        token, doc, n, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        token, part, doc, n, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(token):
             continue
-        new = np.concatenate(([last is None or token[0] != last[0]], token[1:] != token[:-1]))
+        new = np.concatenate(([last is None or (token[0], part[0]) != last[0]], (token[1:] != token[:-1]) | (part[1:] != part[:-1])))
         lead = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
         columns = []
         for k, c in enumerate((doc, n, pos), 1):
             columns.append(np.where(lead < 0, last[k] if last else 0, c[np.maximum(lead, 0)]))
-        keep = ~new & (columns[0] != doc)
-        k = lead[-1]
-        last = (token[-1], *((c[-1] for c in columns)))
+        first = new & (part >= 0)
+        keep = first | (~new & (columns[0] != doc))
+        last = ((token[-1], part[-1]), *((c[-1] for c in columns)))
         if keep.any():
-            yield record_batch({"token": token[keep], "doc": doc[keep], "n": n[keep], "pos": pos[keep], "leader": columns[0][keep], "leader_n": columns[1][keep].astype(np.int32), "leader_pos": columns[2][keep].astype(np.int32)}, _HIT)
+            yield record_batch({"token": token[keep], "doc": doc[keep], "n": n[keep], "pos": pos[keep], "leader": pa.array(columns[0][keep], mask=first[keep]), "leader_n": columns[1][keep].astype(np.int32), "leader_pos": columns[2][keep].astype(np.int32)}, _HIT)
 
 
 def _within(n_a, pos_a, n_b, pos_b):
@@ -176,22 +194,23 @@ def _within(n_a, pos_a, n_b, pos_b):
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+#: Roles in a block: at home and of the group's largest class; at home and of another; a visitor, of another.
+MAIN, MINOR, VISITOR = 0, 1, 2
+
+
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one block after another: the pairs of different classes within the bounds."""
+    """Rows of one block after another: the pairs of a visitor and a member at home that differ in class and are within the bounds."""
     group: list[np.ndarray] = []
     now = None
 
     def pairs() -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(group, axis=1)
-        (left,), (right,) = np.nonzero(rows[6] == rows[4]), np.nonzero(rows[6] == rows[5])
-        for at in range(0, len(left), 512):
-            i = left[at : at + 512]
-            doc, n, pos, comp = (rows[k][i][:, None] for k in range(4))
-            other, m, place, its = (rows[k][right][None, :] for k in range(4))
-            ok = (comp != its) & (np.minimum(n - pos, m - place) >= least_overlap(n, m))
-            if now[1] == now[2]:
-                ok &= doc < other
-            x, y = np.nonzero(ok)
+        (visitors,), (homes,) = np.nonzero(rows[4] == VISITOR), np.nonzero(rows[4] != VISITOR)
+        other, m, place, its, role = (rows[k][homes][None, :] for k in range(5))
+        for at in range(0, len(visitors), 512):
+            doc, n, pos, comp = (rows[k][visitors[at : at + 512]][:, None] for k in range(4))
+            # Two members outside of the largest class visit each other; one of the two visits counts.
+            x, y = np.nonzero((comp != its) & (np.minimum(n - pos, m - place) >= least_overlap(n, m)) & ((role == MAIN) | (doc < other)))
             if len(x):
                 a, b = doc[x, 0], other[0, y]
                 yield record_batch({"a": np.maximum(a, b), "b": np.minimum(a, b)}, _PAIR)
@@ -200,14 +219,14 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
         if not columns.shape[1]:
             continue
-        cuts = np.flatnonzero((columns[[0, 5, 6]][:, 1:] != columns[[0, 5, 6]][:, :-1]).any(axis=0)) + 1
+        cuts = np.flatnonzero((columns[:3, 1:] != columns[:3, :-1]).any(axis=0)) + 1
         for part in np.split(columns, cuts, axis=1):
-            key = (part[0, 0], part[5, 0], part[6, 0])
+            key = tuple(part[:3, 0])
             if now is not None and key != now:
                 yield from pairs()
                 group = []
             now = key
-            group.append(part[1:])
+            group.append(part[3:])
     if group:
         yield from pairs()
 
@@ -338,9 +357,14 @@ def _classes_of(texts: DataFrame, told: DataFrame, width: int) -> DataFrame:
     keys = ["n", "f1", "f2"]
     copies = materialise(nodes.join(nodes.groupBy(keys).agg(F.min("doc_id").alias("same")), keys).where("doc_id <> same").select("doc_id", "same").distinct(), "copies", ROWS)
 
-    prefixes = texts.mapInArrow(_prefixes(width, order), "token long, doc long, n int, pos int")
-    met = prefixes.repartition(parts, "token").sortWithinPartitions("token", "pos", "n", "doc").mapInArrow(_hits, "token long, doc long, n int, pos int, leader long, leader_n int, leader_pos int")
-    hits = materialise(met, "prefix-hits", ROWS)
+    def led(prefixes: DataFrame, name: str) -> DataFrame:
+        met = prefixes.repartition(parts, "token", "part").sortWithinPartitions("token", "part", "pos", "n", "doc")
+        return materialise(met.mapInArrow(_hits, "token long, doc long, n int, pos int, leader long, leader_n int, leader_pos int"), name, ROWS)
+
+    hits = led(texts.mapInArrow(_prefixes(width, order, HOT), "token long, part int, doc long, n int, pos int"), "prefix-hits")
+    if _parts(order, HOT).max() > 1:
+        firsts = led(hits.where("leader is null").select("token", F.lit(-1).alias("part"), "doc", "n", "pos"), "first-hits")
+        hits = hits.where("leader is not null").unionByName(firsts)
 
     def one(df: DataFrame, column: str) -> DataFrame:
         """Replaces a document by the smallest with an equal set."""
@@ -354,10 +378,17 @@ def _classes_of(texts: DataFrame, told: DataFrame, width: int) -> DataFrame:
     members = hits.select("token", "doc", "n", "pos").unionByName(hits.select("token", F.col("leader").alias("doc"), F.col("leader_n").alias("n"), F.col("leader_pos").alias("pos")))
     members = one(members.distinct(), "doc").distinct().join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     members = materialise(members.select("token", "doc", "n", "pos", "component"), "members", ROWS)
-    mixed = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    blocked = members.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    cross = blocked.select("token", "doc", "n", "pos", "component", "low", "high", "own").repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_cross_pairs, "a long, b long")
+    mixed = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    spread = materialise(members.join(mixed, "token"), "mixed-members", ROWS)
+    by_class = spread.groupBy("token", "component").agg(F.count("*").alias("size"))
+    groups = by_class.groupBy("token").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component")).alias("most")).withColumn("visitors", F.col("size") - F.col("most.size"))
+    unit = F.when(F.col("visitors") <= SMALL_BLOCK, SMALL_BLOCK).otherwise(BLOCK)
+    groups = groups.select("token", F.col("most.component").alias("main"), F.ceil(F.col("size") / unit).alias("blocks"), F.ceil(F.col("visitors") / BLOCK).alias("chunks"))
+    dealt = spread.join(groups, "token").withColumns({"own": F.pmod(F.xxhash64("doc"), "blocks"), "seat": F.pmod(F.xxhash64("doc", F.lit(1)), "chunks"), "minor": F.col("component") != F.col("main")})
+    row = ["doc", "n", "pos", "component"]
+    at_home = dealt.select("token", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), *row, F.when(F.col("minor"), MINOR).otherwise(MAIN).alias("role"))
+    visiting = dealt.where("minor").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("seat").alias("chunk"), *row, F.lit(VISITOR).alias("role"))
+    cross = at_home.unionByName(visiting).repartition(parts, "token", "block", "chunk").sortWithinPartitions("token", "block", "chunk").mapInArrow(_cross_pairs, "a long, b long")
     rest = materialise(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs", ROWS)
     if not rest.isEmpty():
         found = connected(links.unionByName(verify(texts, rest, width, order)))

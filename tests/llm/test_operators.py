@@ -119,9 +119,14 @@ def test_near_copies(docs):
     assert got == sorted(brute.jaccard_classes(rows()))
 
 
-def test_near_copies_in_many_classes(spark):
+@pytest.mark.parametrize("hot, block, small", [(jaccard_join.HOT, jaccard_join.BLOCK, jaccard_join.SMALL_BLOCK), (5, 16, 8), (40, 16, 1)])
+def test_near_copies_in_many_classes(spark, monkeypatch, hot, block, small):
+    """Also with groups dealt by parts and compared in small blocks."""
     import random
 
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", small)
     r = random.Random(3)
     base = [f"b{k}" for k in range(150)]
     data = []
