@@ -593,6 +593,6 @@ def dense_spectra(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dense.select("s", F.size("flux").cast("long").alias("n"), F.aggregate("flux", F.lit(0.0), lambda a, v: a + v).alias("total")), total=6)
 
 
-# --- column scales, triage, maps and cuts register themselves
+# --- column scales, triage, maps, cuts, layouts and seeds register themselves
 
-from . import catalog_columns  # noqa: E402, F401
+from . import catalog_columns, catalog_shapes  # noqa: E402, F401
