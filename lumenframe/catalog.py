@@ -188,7 +188,7 @@ def component_support_amp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flux_reference(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    return rounded(A.flux_reference(cube(spark, d), mode), flux_ref=10)  # a flux has up to nine digits of its own: no value lies halfway
+    return rounded(A.flux_reference(cube(spark, d), mode), flux_ref=10).orderBy("c", "p")  # a flux has up to nine digits of its own: no value lies halfway
 
 
 _FLUX = ", f AS (SELECT c, p, s, sum(m) AS f FROM cube GROUP BY c, p, s) SELECT c, p, round(greatest({}(f), 1e-12), 10) AS flux_ref FROM f GROUP BY c, p"
@@ -204,7 +204,7 @@ def cp_flux_ref_median(spark: SparkSession, d: str) -> DataFrame:
     return _flux_reference(spark, d, "median")
 
 
-@query(sql("cube", _FLUX.replace("{}(f)", "quantile_disc(f, 0.5)")))  # the sketch is exact while the apertures fit its buffer, as those of the smaller tables do
+@query(sql("cube", _FLUX.replace("{}(f)", "quantile_disc(f, 0.5)")))  # the sketch only brackets the median
 def cp_flux_ref_p2(spark: SparkSession, d: str) -> DataFrame:
     return _flux_reference(spark, d, "sketch")
 
