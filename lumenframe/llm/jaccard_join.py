@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import materialise
 from . import blobs
-from .common import record_batch
+from .common import record_batch, releasing
 from .components import connected
-from .textkernel import U64, gram_index, grams, mix64, signed, split_batches
+from .textkernel import U64, buffers, gram_index, grams, mix64, signed, slices, split_batches
 
 WIDTH = 5
 #: Buckets of the token counts behind the first order, and rows of them sent to the driver: 2^20 classes of one byte.
@@ -84,6 +84,13 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
                 yield np.unique(keys[bounds[i] : bounds[i + 1]])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) in pieces of a bounded size: what a task makes of a piece is sent on before the next."""
+    for batch in batches:
+        for a, b in slices(buffers(batch.column(1))[1]):
+            yield batch.slice(a, b - a)
+
+
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(np.sum(mix64(s), dtype=U64).view(np.int64)), int(np.sum(mix64(s ^ OTHER_ORDERS[0]), dtype=U64).view(np.int64))
 
@@ -96,7 +103,7 @@ def _signatures(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, dtype=U64)
-        for batch in batches:
+        for batch in _pieces(batches):
             n, f1, f2, held = [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 n.append(len(s))
@@ -141,7 +148,7 @@ def _prefixes(width: int, classes: np.ndarray, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
         parts_of = _parts(classes, hot)
-        for batch in batches:
+        for batch in _pieces(batches):
             parts = []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
                 if not len(s) or doc is None or (key := (len(s), *_fingerprint(s))) in seen:
@@ -251,7 +258,7 @@ def _wanted_sets(width: int, flags: np.ndarray, bits: int):
     schema = pa.schema([("doc", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             byte, bit = _bit_of(ids, bits)
@@ -307,17 +314,17 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int, classes: np.ndarray)
     count = wanted.count()
     bits = min(max((16 * count).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     flags = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for row in wanted.coalesce(16).mapInArrow(_filter_rows(bits), "flags binary").toLocalIterator():  # at most 16 rows of at most 16 MB, one at a time
+    for row in wanted.coalesce(16).mapInArrow(releasing(_filter_rows(bits)), "flags binary").toLocalIterator():  # at most 16 rows of at most 16 MB, one at a time
         flags |= np.frombuffer(zstandard.decompress(bytes(row["flags"])), dtype=np.uint8)
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc"))
-    sets = texts.mapInArrow(_wanted_sets(width, flags, bits), "doc long, tokens binary").join(ends, "doc").select("a", "b", "doc", "tokens")
+    sets = texts.mapInArrow(releasing(_wanted_sets(width, flags, bits)), "doc long, tokens binary").join(ends, "doc").select("a", "b", "doc", "tokens")
     parts = max(pairs.rdd.getNumPartitions(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = sets.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "doc")
-    return materialise(met.mapInArrow(_verified(classes), "a long, b long"), "verified", ROWS)
+    return materialise(met.mapInArrow(releasing(_verified(classes)), "a long, b long"), "verified", ROWS)
 
 
 def _told(texts: DataFrame, width: int) -> DataFrame:
-    return materialise(texts.mapInArrow(_signatures(width), "doc_id long, n long, f1 long, f2 long, block int, counts binary"), "signatures", ROWS)
+    return materialise(texts.mapInArrow(releasing(_signatures(width)), "doc_id long, n long, f1 long, f2 long, block int, counts binary"), "signatures", ROWS)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -349,7 +356,7 @@ def _classes_of(texts: DataFrame, told: DataFrame, width: int) -> DataFrame:
     parts = max(texts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     signatures = told.where("block is null").select("doc_id", "n", "f1", "f2")
     table = np.zeros((BUCKET_BLOCKS, (1 << BUCKET_BITS) // BUCKET_BLOCKS), dtype=np.uint8)
-    blocks = told.where("block is not null").select("block", "counts").repartitionById(BUCKET_BLOCKS, "block").mapInArrow(_classes, "block int, classes binary")
+    blocks = told.where("block is not null").select("block", "counts").repartitionById(BUCKET_BLOCKS, "block").mapInArrow(releasing(_classes), "block int, classes binary")
     for row in blocks.collect():  # 64 rows, 1 MB together, whatever the corpus
         table[row["block"]] = np.frombuffer(row["classes"], dtype=np.uint8)
     order = table.reshape(-1)
@@ -359,9 +366,9 @@ def _classes_of(texts: DataFrame, told: DataFrame, width: int) -> DataFrame:
 
     def led(prefixes: DataFrame, name: str) -> DataFrame:
         met = prefixes.repartition(parts, "token", "part").sortWithinPartitions("token", "part", "pos", "n", "doc")
-        return materialise(met.mapInArrow(_hits, "token long, doc long, n int, pos int, leader long, leader_n int, leader_pos int"), name, ROWS)
+        return materialise(met.mapInArrow(releasing(_hits), "token long, doc long, n int, pos int, leader long, leader_n int, leader_pos int"), name, ROWS)
 
-    hits = led(texts.mapInArrow(_prefixes(width, order, HOT), "token long, part int, doc long, n int, pos int"), "prefix-hits")
+    hits = led(texts.mapInArrow(releasing(_prefixes(width, order, HOT)), "token long, part int, doc long, n int, pos int"), "prefix-hits")
     if _parts(order, HOT).max() > 1:
         firsts = led(hits.where("leader is null").select("token", F.lit(-1).alias("part"), "doc", "n", "pos"), "first-hits")
         hits = hits.where("leader is not null").unionByName(firsts)
@@ -388,7 +395,7 @@ def _classes_of(texts: DataFrame, told: DataFrame, width: int) -> DataFrame:
     row = ["doc", "n", "pos", "component"]
     at_home = dealt.select("token", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), *row, F.when(F.col("minor"), MINOR).otherwise(MAIN).alias("role"))
     visiting = dealt.where("minor").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("seat").alias("chunk"), *row, F.lit(VISITOR).alias("role"))
-    cross = at_home.unionByName(visiting).repartition(parts, "token", "block", "chunk").sortWithinPartitions("token", "block", "chunk").mapInArrow(_cross_pairs, "a long, b long")
+    cross = at_home.unionByName(visiting).repartition(parts, "token", "block", "chunk").sortWithinPartitions("token", "block", "chunk").mapInArrow(releasing(_cross_pairs), "a long, b long")
     rest = materialise(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs", ROWS)
     if not rest.isEmpty():
         found = connected(links.unionByName(verify(texts, rest, width, order)))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import fresh_folder, materialise
 from . import kneser_ney as kn
-from .common import per_text, ranges_for, record_batch, running, segment_sums
+from .common import per_text, ranges_for, record_batch, releasing, running, segment_sums
 from .textkernel import SPACE, U64, Words, buffers, gram_index, grams, mix64, slices, split, split_batches
 
 ORDER, BITS = 5, 8
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, text: str = "text", shards: int = 8) -> kn.KneserNey:
         for _, _, data, offsets in _byte_slices(batch.column(0)):
             yield _keys(data, offsets)[0]
 
-    counts = docs.select(text).mapInArrow(kn.counting(keys_of, f"g{ORDER}", shards), kn.SCHEMA)
+    counts = docs.select(text).mapInArrow(releasing(kn.counting(keys_of, f"g{ORDER}", shards)), kn.SCHEMA)
     return kn.fit(docs.sparkSession, counts, ORDER, BITS, shards, folder, 256)
 
 
@@ -125,7 +125,7 @@ def measure(docs: DataFrame, model: kn.KneserNey, doc_id: str = "doc_id", text:
                     schema,
                 )
 
-    out = docs.select(doc_id, lang, text).mapInArrow(run, f"{doc_id} {kinds[0]}, {lang} {kinds[1]}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double")
+    out = docs.select(doc_id, lang, text).mapInArrow(releasing(run), f"{doc_id} {kinds[0]}, {lang} {kinds[1]}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, log_perplexity double")
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 

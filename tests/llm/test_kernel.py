@@ -1,3 +1,6 @@
+import re
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -6,8 +9,9 @@ from brute import lower, split
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenframe.llm import blobs, pretokens
+from lumenframe.llm import blobs, jaccard_join, pretokens
 from lumenframe.llm import textkernel as tk
+from lumenframe.llm.common import releasing
 from lumenframe.llm.kneser_ney import _inverse_mix
 from lumenframe.llm.transducers import Transducer
 
@@ -72,3 +76,35 @@ def test_fetched_arrays(tmp_path, monkeypatch):
         assert (sharedfs.map_array(uri) == array).all()
         got = sharedfs._fetched(uri)
         assert got.shape == array.shape and got.dtype == array.dtype and (got == array).all()
+
+
+def test_sets_are_made_piece_by_piece():
+    """A large batch's sets are sent on in pieces of a bounded size, not all at once."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10_000, 2000))) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    most = 8 * tk.SLICE_BYTES // 2  # a set has fewer tokens than half the text's bytes
+    found = list(jaccard_join._wanted_sets(5, np.full(1 << 17, 255, dtype=np.uint8), 20)(iter([batch])))
+    assert len(found) > 2 and sum(b.num_rows for b in found) == 400 and max(b.nbytes for b in found) < most
+    assert [s for b in found for s in b.column(1).to_pylist()] == [s.tobytes() for s in jaccard_join.shingle_sets(batch.column(1))]
+    for run in (jaccard_join._signatures(5), jaccard_join._prefixes(5, np.full(1 << 20, 4, dtype=np.uint8), 1024)):
+        assert len(list(run(iter([batch])))) > 2
+
+
+def test_worker_gives_freed_memory_back():
+    """What a task frees goes back to the machine at its end, though a block above it is still held."""
+
+    def anonymous() -> int:
+        return sum(int(n) for n in re.findall(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())) // 1024
+
+    pinned = []
+
+    def task(batches):
+        blocks = [bytes(2000) for _ in range(100_000)]
+        pinned.append(bytes(2000))
+        blocks.clear()
+        yield from batches
+
+    before = anonymous()
+    assert list(releasing(task)(iter([1, 2]))) == [1, 2]
+    assert anonymous() - before < 60
